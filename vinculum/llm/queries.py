@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import bpe, normalise
+from vinculum.llm import bpe, normalise, residue
 from vinculum.runtime import table
 
 
@@ -27,5 +27,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents"))
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.join(residue.residue_documents(docs), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
+def p9_validation(spark: SparkSession, d: str) -> DataFrame:
+    return residue.validation(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p7_ids, p9_found, p9_kept, p9_validation)}
 SQL: dict[str, str] = {}

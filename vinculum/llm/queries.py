@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import bpe, normalise, residue
+from vinculum.llm import bpe, leaks, normalise, residue
 from vinculum.runtime import table
 
 
@@ -27,6 +27,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "gold_examples"))
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "gold_examples"), detail=True)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "documents"))
 
@@ -40,5 +48,5 @@ def p9_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p7_ids, p9_found, p9_kept, p9_validation)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p7_ids, p8_found, p8_stretches, p9_found, p9_kept, p9_validation)}
 SQL: dict[str, str] = {}

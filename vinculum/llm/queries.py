@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import bpe, leaks, normalise, residue
+from vinculum.llm import bpe, leaks, normalise, residue, sentences
 from vinculum.runtime import table
 
 
@@ -23,6 +23,12 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("rec_table", "rec_doc", "rec_id", normalise.normalised(t).alias("form"), normalise.comparison_key(t).alias("compare_key"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "sources").select("doc_id", F.col("unit_pos").alias("rec_pos"), F.col("text").alias("body"))
+    rows = table(spark, d, "sentences").select("doc_id", F.col("sent_idx").alias("rec_pos"), F.col("tokens.text").alias("body"))
+    return sentences.find_ends(texts, "sources", False).unionByName(sentences.find_ends(rows, "sentences", True))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -48,5 +54,5 @@ def p9_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p7_ids, p8_found, p8_stretches, p9_found, p9_kept, p9_validation)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p7_ids, p8_found, p8_stretches, p9_found, p9_kept, p9_validation)}
 SQL: dict[str, str] = {}

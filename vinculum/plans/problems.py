@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(*H.token_parents(table(spark, d, "tokengraph"))).drop("ids")
+    return H.hierarchy(*H.token_parents(table(spark, d, "tokengraph"))).drop("ids").withColumn("depth", F.coalesce("depth", F.lit(-1)))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ SELECT file_id, line_no, reason FROM judged WHERE reason IS NOT NULL"""
 _LINKS = f"""WITH RECURSIVE {_REC}, links AS (SELECT a.doc_id, a.id, coalesce(p.id, q.id) AS parent FROM rec a
   LEFT JOIN rec p ON p.doc_id = a.doc_id AND p.id = a.r1 LEFT JOIN rec q ON q.doc_id = a.doc_id AND q.id = a.r2
   WHERE (a.r1 IS NULL OR a.r1 <> 'root') AND (p.id IS NOT NULL OR q.id IS NOT NULL)),
-up AS (SELECT doc_id, id, parent AS above, 1 AS n FROM links UNION SELECT u.doc_id, u.id, l.parent, least(u.n + 1, 1000) FROM up u JOIN links l ON l.doc_id = u.doc_id AND l.id = u.above WHERE u.above <> u.id AND u.n < 200),
+up AS (SELECT doc_id, id, parent AS above, 1 AS n FROM links UNION ALL SELECT u.doc_id, u.id, l.parent, u.n + 1 FROM up u JOIN links l ON l.doc_id = u.doc_id AND l.id = u.above WHERE u.above <> u.id AND u.n < 1000),
 tree AS (SELECT rec.doc_id, rec.id, rec.id AS path, 0 AS depth, rec.id AS root FROM rec WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.doc_id = rec.doc_id AND l.id = rec.id)
   UNION ALL SELECT l.doc_id, l.id, t.path || '>' || l.id, t.depth + 1, t.root FROM tree t JOIN links l ON l.doc_id = t.doc_id AND l.parent = t.id),
 loops AS (SELECT DISTINCT doc_id, id FROM up WHERE above = id)
@@ -115,7 +115,7 @@ SQL = {
     "p2_found": _P2,
     "p3_found": _LINKS + "SELECT doc_id, id FROM loops",
     "p3_paths": _LINKS
-    + """SELECT rec.doc_id, rec.id, t.path, t.depth, t.root, o.id IS NOT NULL AS on_loop, t.id IS NULL AND o.id IS NULL AS into_loop
+    + """SELECT rec.doc_id, rec.id, t.path, coalesce(t.depth, -1) AS depth, t.root, o.id IS NOT NULL AS on_loop, t.id IS NULL AND o.id IS NULL AS into_loop
 FROM rec LEFT JOIN tree t ON t.doc_id = rec.doc_id AND t.id = rec.id LEFT JOIN loops o ON o.doc_id = rec.doc_id AND o.id = rec.id""",
     "p3_descendants": _LINKS
     + """, down AS (SELECT doc_id, parent AS id, id AS descendant, 1 AS distance FROM links WHERE EXISTS (SELECT 1 FROM tree t WHERE t.doc_id = links.doc_id AND t.id = links.id)

@@ -140,9 +140,9 @@ up AS (SELECT doc_id, start AS id, arg_min(parent, slot) AS parent FROM hit WHER
 down AS (SELECT doc_id, id, 0 AS depth FROM anchors WHERE related1 = 'root' UNION ALL SELECT u.doc_id, u.id, w.depth + 1 FROM down w JOIN up u ON u.doc_id = w.doc_id AND u.parent = w.id)"""
 
 
-@query(_GR2 + " SELECT a.doc_id, a.id AS anchor, up.parent, down.depth FROM anchors a LEFT JOIN up ON up.doc_id = a.doc_id AND up.id = a.id LEFT JOIN down ON down.doc_id = a.doc_id AND down.id = a.id")
+@query(_GR2 + " SELECT a.doc_id, a.id AS anchor, up.parent, coalesce(down.depth, -1) AS depth FROM anchors a LEFT JOIN up ON up.doc_id = a.doc_id AND up.id = a.id LEFT JOIN down ON down.doc_id = a.doc_id AND down.id = a.id")
 def subordination_depth(spark: SparkSession, d: str) -> DataFrame:
-    return G.resolve(graph(spark, d)).where("is_anchor").select("doc_id", F.col("id").alias("anchor"), "parent", "depth")
+    return G.resolve(graph(spark, d)).where("is_anchor").select("doc_id", F.col("id").alias("anchor"), "parent", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
 @query(_GR2 + " SELECT a.doc_id, a.id AS anchor, 'could not find a governing verbal expression for ''' || a.id || ''' -- leaving its depth unresolved' AS message FROM anchors a LEFT JOIN up ON up.doc_id = a.doc_id AND up.id = a.id WHERE up.parent IS NULL AND a.related1 IS DISTINCT FROM 'root'")
@@ -155,9 +155,9 @@ def depth_cycles(spark: SparkSession, d: str) -> DataFrame:
     return G.depth_warnings(G.resolve(graph(spark, d))).where("code = 'cycle'")
 
 
-@query(_GR2 + ", docs AS (SELECT DISTINCT doc_id FROM g) SELECT docs.doc_id, max(down.depth) AS max_depth FROM docs LEFT JOIN down ON down.doc_id = docs.doc_id GROUP BY docs.doc_id")
+@query(_GR2 + ", docs AS (SELECT DISTINCT doc_id FROM g) SELECT docs.doc_id, coalesce(max(down.depth), -1) AS max_depth FROM docs LEFT JOIN down ON down.doc_id = docs.doc_id GROUP BY docs.doc_id")
 def max_depth_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    return G.max_depth(G.resolve(graph(spark, d)))
+    return G.max_depth(G.resolve(graph(spark, d))).select("doc_id", F.coalesce("max_depth", F.lit(-1)).alias("max_depth"))
 
 
 @query(f"""WITH {_G}, two AS (SELECT *, row_number() OVER (PARTITION BY doc_id, related1, related2 ORDER BY pos) AS rn FROM g WHERE related1 <> 'root' AND related2 <> 'root' AND relationship1 = 'coordinating conjunction' AND relationship2 = 'coordinating conjunction'),
@@ -211,7 +211,7 @@ _BLOCK = """, b0 AS (SELECT *, CASE WHEN tokentype <> 'enclitic' THEN unit_id EN
 b2 AS (SELECT *, sum(CASE WHEN elig IS NOT NULL AND (prev IS NULL OR prev <> elig) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block, coalesce(elig, prev) AS block_unit FROM b1)"""
 
 
-@query(_RES + _BLOCK.format("r") + " SELECT doc_id, pos, id, block, block_unit FROM b2")
+@query(_RES + _BLOCK.format("r") + " SELECT doc_id, pos, id, block::BIGINT AS block, block_unit FROM b2")
 def depth_blocks(spark: SparkSession, d: str) -> DataFrame:
     return R.depth_blocks(G.resolve(graph(spark, d))).select("doc_id", "pos", "id", "block", "block_unit")
 
@@ -376,7 +376,7 @@ def analysis_file_problems(spark: SparkSession, d: str) -> DataFrame:
     return blocks.analyses(_raw(spark, d))[3]
 
 
-@query("SELECT DISTINCT urnbase || citation AS urn, string_split(urnbase, ':')[4] AS work, length(text) AS n, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) > 4 THEN array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')[1:4], ' ') || '…' ELSE array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> ''), ' ') END AS preview FROM ctsdata")
+@query("SELECT DISTINCT urnbase || citation AS urn, string_split(urnbase, ':')[4] AS work, length(text) AS n, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 4 THEN array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:4], ' ') || '…' ELSE array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') END AS preview FROM ctsdata")
 def urn_split(spark: SparkSession, d: str) -> DataFrame:
     base, cited = X.split_urn(F.concat("urnbase", "citation"))
     return table(spark, d, "ctsdata").select(F.concat(base, cited).alias("urn"), F.split("urnbase", ":")[3].alias("work"), F.length("text").cast("long").alias("n"), X.preview(F.col("text")).alias("preview")).distinct()
@@ -472,7 +472,7 @@ def _board(spark: SparkSession, d: str, shift: int) -> DataFrame:
 _BOARD = """SELECT 'c' || (o_custkey % 40) AS label, o_orderpriority[1:1] AS provider, CASE o_orderstatus WHEN 'F' THEN 'baseline' WHEN 'O' THEN 'gepa' ELSE 'bootstrap' END AS stage, count(*) AS n, round(avg(o_totalprice / 1000), 3) AS mean FROM orders WHERE o_orderkey % 3 <> {0} GROUP BY ALL"""
 
 
-@query(f"WITH o AS ({_BOARD.format(0)}), w AS ({_BOARD.format(1)}), both AS (SELECT *, 0 AS z FROM o UNION ALL SELECT *, 1 FROM w), kept AS (SELECT label, provider, stage, arg_max(n, z) AS n, arg_max(mean, z) AS mean FROM both GROUP BY label, provider, stage) SELECT label, provider, stage, n, mean, CASE WHEN label IN ('c1', 'c2', 'c3') THEN label[2:2]::INT ELSE 1073741824 END AS place FROM kept")
+@query(f"WITH o AS ({_BOARD.format(0)}), w AS ({_BOARD.format(1)}), twice AS (SELECT *, 0 AS z FROM o UNION ALL SELECT *, 1 FROM w), kept AS (SELECT label, provider, stage, arg_max(n, z) AS n, arg_max(mean, z) AS mean FROM twice GROUP BY label, provider, stage) SELECT label, provider, stage, n, mean, CASE WHEN label IN ('c1', 'c2', 'c3') THEN label[2:2]::INT ELSE 1073741824 END AS place FROM kept")
 def leaderboard_upsert(spark: SparkSession, d: str) -> DataFrame:
     candidates = spark.createDataFrame([("c1", 1), ("c2", 2), ("c3", 3)], "label string, rank int")
     return L.upsert(_board(spark, d, 0), _board(spark, d, 1), candidates).select("label", "provider", "stage", F.col("n").cast("long").alias("n"), "mean", F.col("order_key.candidate").alias("place"))
@@ -489,7 +489,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.coalesce("lang", F.lit("-")).alias("lang"), words.alias("num_tokens"), F.length("text").cast("double").alias("completion_tokens"), F.when(F.col("text").isNull(), "no usage").alias("error"))
 
 
-_SAMPLES = "s AS (SELECT coalesce(lang, '-') AS lang, len(list_filter(string_split(text, ' '), x -> x <> ''))::DOUBLE AS x, length(text)::DOUBLE AS y FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND length(text) < 8000)"
+_SAMPLES = "s AS (SELECT coalesce(lang, '-') AS lang, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::DOUBLE AS x, length(text)::DOUBLE AS y FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND length(text) < 8000)"
 
 
 @query(f"WITH {_SAMPLES}, f AS (SELECT lang, CASE WHEN count(DISTINCT x) >= 2 THEN regr_intercept(y, x) END AS i, CASE WHEN count(DISTINCT x) >= 2 THEN regr_slope(y, x) END AS sl, count(*) AS n FROM s GROUP BY lang) SELECT f.lang, round(f.i, 4) AS intercept, round(f.sl, 4) AS slope, f.n AS sample_size, round(max(abs(s.y - (f.i + f.sl * s.x))), 4) AS max_residual FROM f JOIN s ON s.lang = f.lang GROUP BY f.lang, f.i, f.sl, f.n")

@@ -33,7 +33,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     """path, line_no, line of whole texts; a break at the end of a text begins no further line."""
     rows = texts.select(F.col(key).alias("path"), F.posexplode(F.split(text, BREAKS, -1)).alias("p", "line"), F.size(F.split(text, BREAKS, -1)).alias("n"))
-    return rows.where(~((F.col("p") == F.col("n") - 1) & (F.col("line") == ""))).select("path", (F.col("p") + 1).alias("line_no"), "line")
+    return rows.where(~((F.col("p") == F.col("n") - 1) & (F.col("line") == "")) | (F.col("n") == 1)).select("path", (F.col("p") + 1).alias("line_no"), "line")
 
 
 def _state(lines: DataFrame, labels: list[str]) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,8 @@ def reverse_links(graph: DataFrame, label: str) -> DataFrame:
 # --- resolution inside one document, in the order the annotation scheme prescribes ---
 
 
-def _resolve_document(part: pd.DataFrame) -> pd.DataFrame:
-    """unit_id, parent, depth and problem for the tokens of one document."""
-    part = part.sort_values("pos", kind="stable")
-    rows = part[["id", "verbalunit", "related1", "relationship1", "related2", "relationship2"]].astype(object).where(lambda x: x.notna(), None).values.tolist()
+def _resolve_document(doc: str, rows: list[tuple]) -> list[tuple]:
+    """The resolved columns for the tokens of one document, given in list order as _NEED without doc_id and pos."""
     by = {r[0]: r for r in rows}
     verb_at, participle_at = {}, {}
     for i, _, r1, l1, r2, l2 in rows:
@@ -154,16 +154,31 @@ def _resolve_document(part: pd.DataFrame) -> pd.DataFrame:
             if j not in depth:
                 above = depth[parent[j]]
                 depth[j] = None if above is None else above + 1
-    ids = part["id"].tolist()
-    return pd.DataFrame({
-        "doc_id": part["doc_id"].values, "id": ids, "unit_id": pd.Series([units[i] for i in ids], dtype=object), "is_anchor": [by[i][1] == i for i in ids], "parent": pd.Series([parent.get(i) for i in ids], dtype=object),
-        "depth": pd.array([depth.get(i) for i in ids], dtype="Int32"), "problem": pd.Series([problem.get(i) for i in ids], dtype=object),
-    })
+    return [(doc, r[0], units[r[0]], r[1] == r[0], parent.get(r[0]), depth.get(r[0]), problem.get(r[0])) for r in rows]
 
 
+_NEED = ["doc_id", "id", "verbalunit", "related1", "relationship1", "related2", "relationship2"]
 _RESOLVED = "doc_id string, id string, unit_id string, is_anchor boolean, parent string, depth int, problem string"
 
 
+def _resolve_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Resolves document by document over rows sorted by doc_id and pos; a document may go on over batches."""
+    schema = pa.schema([("doc_id", pa.string()), ("id", pa.string()), ("unit_id", pa.string()), ("is_anchor", pa.bool_()), ("parent", pa.string()), ("depth", pa.int32()), ("problem", pa.string())])
+    pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
+    doc, rows, out = None, [], []
+    for batch in batches:
+        for d, *r in zip(*(c.to_pylist() for c in batch.columns)):
+            if d != doc:
+                if rows:
+                    out += _resolve_document(doc, rows)
+                doc, rows = d, []
+            rows.append(tuple(r))
+        yield pack(out)
+        out = []
+    if rows:
+        yield pack(_resolve_document(doc, rows))
+
+
 def resolve_rounds(nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """doc_id, id, value: first non-null along ordered candidates, for documents too large for one task.
 
@@ -226,11 +241,12 @@ def resolve(graph: DataFrame, whole_doc_rows: int = WHOLE_DOC_ROWS) -> DataFrame
     """
     small = graph.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     large = small.where(F.col("n") > whole_doc_rows).select("doc_id")
-    need = graph.select("doc_id", "id", "pos", "verbalunit", "related1", "relationship1", "related2", "relationship2")
+    need = graph.select(*_NEED, "pos")
+    whole = lambda df: df.repartition("doc_id").sortWithinPartitions("doc_id", "pos").select(*_NEED).mapInArrow(_resolve_sorted, _RESOLVED)
     if large.isEmpty():
-        told = need.groupBy("doc_id").applyInPandas(_resolve_document, _RESOLVED)
+        told = whole(need)
     else:
-        told = need.join(large, "doc_id", "left_anti").groupBy("doc_id").applyInPandas(_resolve_document, _RESOLVED).unionByName(_resolve_large(need.join(large, "doc_id", "left_semi")))
+        told = whole(need.join(large, "doc_id", "left_anti")).unionByName(_resolve_large(need.join(large, "doc_id", "left_semi")))
     return graph.join(told, ["doc_id", "id"])
 
 

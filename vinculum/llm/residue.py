@@ -45,16 +45,27 @@ PHRASES = [
     "javascript is disabled", "javascript must be", "javascript is required", "scripts must be", "requires javascript", "page needs javascript", "does not run scripts", "does not support javascript", "<noscript>", "checking your browser",
     "reload after changing the setting", "verify you are human", "verifying you are human",
 ]
+# The phrases with one example of each structure: labelled rows that every training gets, so that a kind that the sample
+# happens not to hold is known all the same.
+EXAMPLES = [
+    *PHRASES, "qwer hjkl asdfasdf sdfg test jklö", "yxcv zxcv qwerty jkl asdf", "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua", "bla bla bla bla", "blah blah blah blah", "tbd tbd tbd tbd", "xxx xxx xxx xxx", "xxxx xxxx xxxx xxxx",
+    "test test test test", "text text text text", "textus textus textus textus", "passage passage passage passage", "blindtext blindtext blindtext blindtext", "dummy dummy dummy dummy", "foo foo foo foo", "n/a n/a n/a n/a", "text here text here text here text here", "todo todo todo todo", "null null null null",
+    "placeholder placeholder placeholder placeholder", "word1 word2 word3 word4", "word 1 word 2 word 3", "[ ] [ ] [ ] [ ]", "_______ ______ _____ ____", "0000 0000 0000 0000", "00000000 0000 0000", "??? ??? ??? ???", "?????? ??? ??? ???", ". . . . . . .", "error 404", "http 500", "fehler 403", "erreur 503", "errore 404", "status 502",
+    *(f"{code} {status}" for code, status in zip((404, 403, 401, 400, 502, 504, 503, 500, 429, 410), ("not found", "forbidden", "unauthorized", "bad request", "bad gateway", "gateway timeout", "service unavailable", "internal server error", "too many requests", "gone"))),
+    *(f"{status} (404)" for status in ("not found", "forbidden", "unauthorized", "bad gateway", "gateway timeout", "service unavailable", "internal server error", "too many requests", "gone")), "http 404 – not found", "valueerror: x", "keyerror: 'x'", "java.lang.nullpointerexception at x", "try again in 30 seconds", "request id nan",
+    "{{title}}", "{{ title }}", "{{#each title}}", "${title}", "#{title}", "$[title]", "<%= title %>", "<%title%>", "<?= $title ?>", "&lt;%title%&gt;", "{% include title %}", "%(title)s", "{title:s}", "@@title@@", "<<TITLE>>", "__TITLE__", "%TITLE%", "[[TITLE]]", "[TITLE]", "[WORK_TITLE]", "<insert title>", "[insert title here]",
+    "[title goes here]", "todo: title", "<undefined>", "<null>", "[object object]", "please enable javascript", "bitte aktivieren sie javascript", "veuillez activer javascript", "active el uso de scripts", "abilita javascript", "turn on scripts and cookies",
+]
 # a mention inside quotation marks is no residue; straight quotes only where they hold nothing but the mention
 QUOTED = rf"(?=[“„‘«\"])(?:“[^“”„]{{1,150}}”|„[^“”„]{{1,150}}“|‘[^‘’]{{1,100}}’|«[^«»]{{1,150}}»|\"(?:{PLACEHOLDER}|[45]\d\d not found)\")"
 INVISIBLE = r"[­​-‍⁠﻿]"
 
 SLOTS = 1 << 16
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 8_000
 SAMPLE_SEGMENTS = 30_000
 MARGIN = 0.5
 CUTS = r"(?<=[\p{L}\p{N})\]”’»\"][.!?…])\s+|(?<=[。！？።፧])|\n\s*\n"
-TOKENS = r"[^\W\d_]+|\d+|[^\w\s]+|_+"
+TOKENS = r"[^\W\d_]+|\d+|[!-/:-@\[-`{-~]+|[^\w\s]"
 CACHE = 300_000
 
 
@@ -112,16 +123,17 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 def fit(rows: DataFrame, most: int = SAMPLE_SEGMENTS, rounds: int = 100, l2: float = 1e-4) -> tuple[np.ndarray, float] | None:
     """(weights, threshold) of an L2-regularised logistic regression on at most `most` rows of each label.
 
-    The bound keeps what reaches the driver constant. The threshold is `MARGIN` times the lowest score of a weak
-    positive of the sample. None where there are not both labels.
+    The bound keeps what reaches the driver constant. `EXAMPLES` are always among the positives.
+    The threshold is `MARGIN` times the lowest score of a positive. None where the sample has not both labels.
     """
     rows = rows.select("label", "at", F.substring("raw", 1, 2000).alias("raw"), F.xxhash64("doc_id", "raw").alias("h"))
     got = [rows.where(F.col("label") == y).orderBy("h").limit(most).toPandas() for y in (True, False)]
     if not len(got[0]) or not len(got[1]):
         return None
-    y = np.r_[np.ones(len(got[0])), np.zeros(len(got[1]))]
+    positive = [(r.raw, r.at == 0) for r in got[0].itertuples()] + [(x, first) for x in EXAMPLES for first in (True, False)]
+    y = np.r_[np.ones(len(positive)), np.zeros(len(got[1]))]
     cache = _Slots()
-    each = [np.concatenate([*slots_of(r.raw, cache, r.at == 0), [_length_slot(len(r.raw))]]) for part in got for r in part.itertuples()]
+    each = [np.concatenate([*slots_of(t, cache, first), [_length_slot(len(t))]]) for t, first in [*positive, *((r.raw, r.at == 0) for r in got[1].itertuples())]]
     row, slot = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, b = np.zeros(SLOTS), 0.0
@@ -134,7 +146,7 @@ def fit(rows: DataFrame, most: int = SAMPLE_SEGMENTS, rounds: int = 100, l2: flo
         w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.999**k)) + 1e-8)
     w = w.astype(np.float32)
-    return w, MARGIN * min(text_score(r.raw, w, cache, r.at == 0) for r in got[0].itertuples())
+    return w, MARGIN * min(text_score(t, w, cache, first) for t, first in positive)
 
 
 def text_score(text: str, w: np.ndarray, cache: _Slots, first: bool = True) -> float:

@@ -49,22 +49,19 @@ def find_orphans(references: DataFrame, parents: DataFrame, period_format: str =
     coded = keys.withColumn("code", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_key", "key")) - 1)
     coded = coded.withColumn("word", F.floor(F.col("code") / WORD)).withColumn("bit", F.pmod("code", F.lit(WORD)).cast("int"))
 
-    parent_period = F.date_format("parent_at", period_format)
-    # a parent loaded inside a period covers it from its first reference on, or else only the next period
-    at = F.expr("filter(refs, r -> r.first_ref < parent_at AND r.period = date_format(parent_at, '%s'))" % period_format)
-    late = F.size(at) > 0
-    one = F.expr("shiftleft(1L, bit)")
-    ref_bits = coded.select("bucket", "word", "bit", F.explode("refs.period").alias("period")).groupBy("bucket", "word", "period").agg(F.bit_or(one).alias("ref_bits"))
-    parent_bits = (
-        coded.where(F.col("parent_at").isNotNull())
-        .select("bucket", "word", "bit", parent_period.alias("p"), late.alias("after"))
-        .groupBy("bucket", "word", "p", "after")
-        .agg(F.bit_or(one).alias("parent_bits"))
-    )
-    # running OR over the periods of a range; a bit that starts after its period sorts behind that period's references
-    line = ref_bits.select("bucket", "word", "period", F.lit(1).alias("turn"), "ref_bits", F.lit(0).cast("long").alias("parent_bits")).unionByName(
-        parent_bits.select("bucket", "word", F.col("p").alias("period"), F.when(F.col("after"), 2).otherwise(0).alias("turn"), F.lit(0).cast("long").alias("ref_bits"), "parent_bits")
+    # a parent loaded inside a period covers it from its first reference on (turn 0, before the references' turn 1), or
+    # else only the periods after (turn 2)
+    events = F.expr(f"""concat(
+        transform(refs, r -> struct(r.period AS period, 1 AS turn)),
+        if(parent_at IS NULL, array(), array(struct(date_format(parent_at, '{period_format}') AS period,
+            if(exists(refs, r -> r.first_ref < parent_at AND r.period = date_format(parent_at, '{period_format}')), 2, 0) AS turn))))""")
+    one, zero = F.expr("shiftleft(1L, bit)"), F.lit(0).cast("long")
+    line = (
+        coded.select("bucket", "word", "bit", F.explode(events).alias("e"))
+        .groupBy("bucket", "word", "e.period", "e.turn")
+        .agg(F.bit_or(F.when(F.col("e.turn") == 1, one).otherwise(zero)).alias("ref_bits"), F.bit_or(F.when(F.col("e.turn") == 1, zero).otherwise(one)).alias("parent_bits"))
     )
+    # running OR over the periods of a range
     seen = F.bit_or("parent_bits").over(Window.partitionBy("bucket", "word").orderBy("period", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.bit_or("parent_bits").over(Window.partitionBy("bucket", "word"))
     left = line.select("bucket", "word", "period", "turn", "ref_bits", seen.alias("seen"), whole.alias("whole")).where("turn = 1")

@@ -66,10 +66,10 @@ def count_terms(records: DataFrame, fields: list[str]) -> DataFrame:
 
 def mark_terms(terms: DataFrame, documents: DataFrame, rare_below: int = 3, common_over: float = 1 / 3) -> DataFrame:
     """Adds mark: `rare` (in fewer than `rare_below` documents), `common` (in more than the share `common_over` of `documents`), else null."""
-    total = documents.select(F.countDistinct("doc_id").alias("total"))  # one row
+    total = documents.select(F.countDistinct("doc_id").alias("total")).scalar()
     # compared as whole numbers where the share is a third, so that exactly a third is not common
-    over = (F.col("documents") * 3 > F.col("total")) if common_over == 1 / 3 else (F.col("documents") > F.col("total") * common_over)
-    return terms.join(F.broadcast(total)).select("field", "term", "occurrences", "documents", F.when(F.col("documents") < rare_below, "rare").when(over, "common").alias("mark"))
+    over = (F.col("documents") * 3 > total) if common_over == 1 / 3 else (F.col("documents") > total * common_over)
+    return terms.select("field", "term", "occurrences", "documents", F.when(F.col("documents") < rare_below, "rare").when(over, "common").alias("mark"))
 
 
 class TermCountStore:

@@ -188,8 +188,9 @@ def residue_documents(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFr
     """
     texts = usable(docs)
     model = fit(training_rows(texts, sample_docs))
-    candidates = texts if model is None else texts.where(best_score(F.col("text"), model) >= model[1])
-    return candidates.where(is_residue(F.col("text"))).select("doc_id").distinct()
+    # the check takes its text through the classifier's verdict: as two filters, the optimiser would turn them round
+    passed = F.col("text") if model is None else F.when(best_score(F.col("text"), model) >= model[1], F.col("text"))
+    return texts.select("doc_id", passed.alias("candidate")).where(is_residue(F.col("candidate"))).select("doc_id").distinct()
 
 
 def validation(docs: DataFrame, share: int = 5) -> DataFrame:

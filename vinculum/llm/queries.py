@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculum.llm import bpe, leaks, normalise, residue, sentences
-from vinculum.runtime import table
+from vinculum.runtime import spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return passages.unionByName(table(spark, d, "tokens").select(F.lit("tokens").alias("rec_table"), F.col("doc_id").alias("rec_doc"), F.col("id").alias("rec_id"), "text"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return normalise.not_in_form(_texts(spark, d)).select("rec_table", "rec_doc", "rec_id").distinct()
 
@@ -30,19 +34,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, d, "documents"))
+    return bpe.encode_documents(_documents(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "gold_examples"))
+    return leaks.find_leaks(_documents(spark, d), table(spark, d, "gold_examples"))
 
 
 def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "gold_examples"), detail=True)
+    return leaks.find_leaks(_documents(spark, d), table(spark, d, "gold_examples"), detail=True)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_documents(table(spark, d, "documents"))
+    return residue.residue_documents(_documents(spark, d))
 
 
 def p9_kept(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +55,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_validation(spark: SparkSession, d: str) -> DataFrame:
-    return residue.validation(table(spark, d, "documents"))
+    return residue.validation(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p7_ids, p8_found, p8_stretches, p9_found, p9_kept, p9_validation)}

@@ -120,6 +120,24 @@ def test_leak_blocks(spark, monkeypatch):
     assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == whole == [(k, k) for k, _ in items if k % 3 == 0]
 
 
+def _leaks(item, *text):
+    index = leaks.Index([(7, " ".join(item))])
+    w = np.array([index.words.get(x, 0) for part in text for x in part], dtype=np.int64)
+    return [(matched, span) for _, matched, span in leaks.stretches(index, w)]
+
+
+def test_leak_beside_others():
+    """A stretch counts whatever else of the item stands near it, and a note in it may be long."""
+    item, other = [a + b for a in "bcdfg" for b in "abcdefghik"], ["x" + b for b in "abcdefghiklmnopqrstuwxyz"]
+    assert _leaks(item, item[:12], other[:12], item[24:32]) == [(12, 12)]
+    assert _leaks(item[:12], item[:6], other[:14], item[6:12]) == [(12, 12)] == _leaks(item[:12], item[:9], other, item[9:12])
+    # eleven words score higher than ten of twelve, but are none
+    assert _leaks(item, item[30:41], other[:3], item[:4], other[:1], item[5:9], other[1:2], item[10:12]) == [(10, 12)]
+    # the best alignment leads from the first half to words that are no leak
+    assert _leaks(item, item[:6], item[19:30], other[:4], item[6:12]) == [(12, 12)]
+    assert _leaks(item, item[:11], other[:14], item[30:41]) == [] == _leaks(item[:12], item[:6], other * 2, item[6:12])
+
+
 BAD = [
     "Liber {{work.title}}, v. 3", "${sigla} amat", "<%= citation %>", "&lt;%book%&gt; x", "%(verse)s", "@@editor@@", "<<PUBLISHER>>", "__PAGE_NO__", "%EDITION%", "[CHAPTER_NUMBER]", "[translator goes here]", "[INSERT VERSE HERE]", "<insert year>", "TODO: author name",
     "Titulus: <undefined>", "[object Object]", "Lorem ipsum dolor sit amet consectetur elit", "bla bla bla bla bla", "tbd tbd tbd tbd", "______ ____ ______", "[ ] [ ] [ ] [ ]", ". . . . . . .", "Error 404: Not Found", "503 Service Unavailable", "HTTP 500",

@@ -1,7 +1,7 @@
 """Test passages that stand, whole or in part, in training texts.
 
-Seeds are word trigrams of the test items that few items share; a text that holds seeds of an item is aligned with it by
-Smith-Waterman over words, and the alignment says how long a stretch of the item stands there in order. The seeds and
+Seeds are word trigrams of the test items that few items share; a text that holds seeds of an item, and enough of its words, is aligned with it
+by Smith-Waterman over words, and the alignments say how long a stretch of the item stands there in order. The seeds and
 the items of a block go to every task (their size is bounded by the block); the corpus is read once a block and not shuffled.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,12 @@ from pyspark.sql import functions as F
 N = 3
 SHARED = 3  # a trigram in more items than this is a formula, no seed
 STRETCH = 12
+WINDOW = 17  # of any leak some so many words of the item hold the least number of matched ones
+NOTE = 40  # words of the longest note between two words of a stretch
+REACH = NOTE + 2 * STRETCH
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 20_000_000
-MATCH, MISS, GAP = 2, -1, -1
+MATCH, MISS, GAP, NOTED = 2, -1, -1, -5
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,6});")
 _BREAK = re.compile(r"<(?:/?(?:p|div|li|tr|td|th|h[1-6]|l|lg|ab|head)|br|lb|pb)\b[^<>]{0,200}>", re.I)
@@ -50,7 +55,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: dict[str, int] = {}
-        self.items = [(i, np.array([self.words.setdefault(w, len(self.words) + 1) for w in words_of(t)], dtype=np.int64)) for i, t in items]
+        self.items = [([i], np.array([self.words.setdefault(w, len(self.words) + 1) for w in words_of(t)], dtype=np.int64)) for i, t in items]
         self.base = len(self.words) + 1
         where: dict[int, set[int]] = defaultdict(set)
         for k, (_, w) in enumerate(self.items):
@@ -59,6 +64,7 @@ class Index:
         rare = {g: sorted(ks) for g, ks in where.items() if len(ks) <= SHARED}
         self.seeds = np.array(sorted(rare), dtype=np.int64)
         self.owners = [rare[g] for g in self.seeds.tolist()]
+        self.present = np.zeros(self.base, dtype=bool)
         self.short = [k for k, (_, w) in enumerate(self.items) if len(w) and not any(len(where[g]) <= SHARED for g in self.grams(w).tolist())]
 
     def grams(self, w: np.ndarray) -> np.ndarray:
@@ -80,54 +86,124 @@ class Index:
                     found[k].append(pos)
         return found
 
+    def may_hold(self, item: np.ndarray, text: np.ndarray) -> bool:
+        """Whether enough words of the item stand in the text at all, in any order, for a stretch (see `best_stretch`)."""
+        self.present[text] = True
+        self.present[0] = False
+        has = np.concatenate(([0], np.cumsum(self.present[item])))
+        self.present[text] = False
+        wide = min(WINDOW, len(item))
+        return bool((has[wide:] - has[:-wide]).max() >= least(len(item)))
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment: (matched words, first and last matched position in the item, words of the text it spans)."""
-    m, n = len(item), len(text)
+
+def best_path(same: np.ndarray) -> tuple[int, list[tuple[int, int]], int]:
+    """Score, matched (item, text) positions and first text position of the best local alignment over a matrix of equal words.
+
+    Words of the text between two of the item cost GAP each, but NOTED at most: a note is no worse for being long.
+    """
+    m, n = same.shape
+    gain = np.where(same, MATCH, MISS).astype(np.int32)
     h = np.zeros((m + 1, n + 1), dtype=np.int32)
     slope = np.arange(n + 1, dtype=np.int32) * -GAP
     for i in range(1, m + 1):
-        row = np.zeros(n + 1, dtype=np.int32)
-        row[1:] = np.maximum(h[i - 1, :-1] + np.where(text == item[i - 1], MATCH, MISS), h[i - 1, 1:] + GAP)
+        row = h[i]
+        np.maximum(h[i - 1, :-1] + gain[i - 1], h[i - 1, 1:] + GAP, out=row[1:])
         np.maximum(row, 0, out=row)
-        h[i] = np.maximum.accumulate(row + slope) - slope
+        h[i] = np.maximum(np.maximum.accumulate(row + slope) - slope, np.maximum.accumulate(row) + NOTED)
     i, j = divmod(int(h.argmax()), n + 1)
-    end, matched, first, last = j, 0, -1, -1
+    score, path = int(h[i, j]), []
     while i and j and h[i, j] > 0:
-        same = text[j - 1] == item[i - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISS):
-            if same:
-                matched, first, last = matched + 1, i - 1, last if last >= 0 else i - 1
+        if h[i, j] == h[i - 1, j - 1] + gain[i - 1, j - 1]:
+            if same[i - 1, j - 1]:
+                path.append((i - 1, j - 1))
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] + GAP:
             i -= 1
-        else:
+        elif h[i, j] == h[i, j - 1] + GAP:
             j -= 1
-    return matched, first, last, end - j
+        else:
+            j = int(np.flatnonzero(h[i, :j] == h[i, j] - NOTED)[-1])
+    return score, path[::-1], j
 
 
-def stretches(index: Index, w: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item number, matched, item span, text span, item length) of the best alignment of each item with seeds in a text."""
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
+    """Best local alignment: (matched words, first and last matched position in the item, words of the text it spans)."""
+    _, path, start = best_path(item[:, None] == text[None, :])
+    return (len(path), path[0][0], path[-1][0], path[-1][1] + 1 - start) if path else (0, -1, -1, 0)
+
+
+def best_stretch(path: list[tuple[int, int]], length: int) -> tuple[int, int]:
+    """(matched, span) of the longest part of an alignment that is a leak (see `is_leak`); (0, 0) if none is."""
+    best, start = (0, 0), 0
+    for e in range(1, len(path) + 1):  # no note is longer than NOTE words
+        if e == len(path) or path[e][1] - path[e - 1][1] > NOTE + 1:
+            at = [i for i, _ in path[start:e]]
+            # a part a..b is dense enough if 10 words matched for 7 words of it: the lowest balance before b tells the first a
+            balance = [10 * k - 7 * i for k, i in enumerate(at)]
+            lowest = list(accumulate(balance, min))
+            for b, i in enumerate(at):
+                a = bisect_left(lowest, -(balance[b] + 3), key=lambda x: -x)
+                if a <= b and is_leak(b - a + 1, i - at[a] + 1, length):
+                    best = max(best, (b - a + 1, i - at[a] + 1))
+            start = e
+    return best
+
+
+def _pieces(path: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """An alignment cut where words of the item or the text are left out."""
+    out = [path[:1]]
+    for before, now in zip(path, path[1:]):
+        if now[0] - before[0] > N or now[1] - before[1] > N:
+            out.append([])
+        out[-1].append(now)
+    return out
+
+
+def leaks_in(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """(matched, span) of the longest leak found in the alignments of an item with a text, (0, 0) if there is none.
+
+    After an alignment that holds no leak its largest piece is taken out and the next best is looked at, down to scores
+    that no leak has.
+    """
+    same = item[:, None] == text[None, :]
+    floor = 2 * least(len(item)) - min(STRETCH, len(item))
+    while True:
+        score, path, _ = best_path(same)
+        if score < floor or not path:
+            return 0, 0
+        found = best_stretch(path, len(item))
+        if found[0]:
+            return found
+        for i, j in max(_pieces(path), key=len):
+            same[i, j] = False
+
+
+def stretches(index: Index, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item number, matched, item span) of the longest leak of each item that a text holds."""
     for k, at in index.seeds_in(w).items():
         item = index.items[k][1]
-        reach = 2 * len(item) + 10
-        best = (0, 0, 0)
+        best = (0, 0)
         start = 0
         for e in range(1, len(at) + 1):  # seeds that lie far apart are aligned apart
-            if e == len(at) or at[e] - at[e - 1] > reach:
+            if e == len(at) or at[e] - at[e - 1] > REACH:
                 if len(set(at[start:e])) >= 2 or len(item) <= STRETCH:
-                    lo, hi = max(0, at[start] - reach), at[e - 1] + N + reach
-                    matched, first, last, wide = align(item, w[lo:hi])
-                    best = max(best, (matched, last - first + 1, wide))
+                    text = w[max(0, at[start] - REACH) : at[e - 1] + N + REACH]
+                    if index.may_hold(item, text):
+                        best = max(best, leaks_in(item, text))
                 start = e
         if best[0]:
-            yield k, *best, len(item)
+            yield k, *best
+
+
+def least(length: int) -> int:
+    """The words of a stretch that must be there."""
+    need = min(STRETCH, length)
+    return need - need // 6
 
 
 def is_leak(matched: int, span: int, length: int) -> bool:
     """A stretch of `STRETCH` words of the item (or all of a shorter item), a word lost or exchanged here and there."""
-    need = min(STRETCH, length)
-    return span >= need and matched >= need - need // 6 and matched >= 0.7 * span
+    return span >= min(STRETCH, length) and matched >= least(length) and 10 * matched >= 7 * span
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, detail: bool = False) -> DataFrame:
@@ -160,7 +236,7 @@ def _scanner(block: list):  # noqa: ANN202
             out: list[tuple] = []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 w = np.fromiter((number(x, 0) for x in words_of(text)), dtype=np.int64)
-                out += [(row, index.items[k][0], matched, span) for k, matched, span, _, length in stretches(index, w) if is_leak(matched, span, length)]
+                out += [(row, i, matched, span) for k, matched, span in stretches(index, w) for i in index.items[k][0]]
             rows, ids, matched, spans = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, pa.int64()), pa.array(matched, pa.int32()), pa.array(spans, pa.int32())], names=["doc_id", "item_id", "matched", "span"])
 

@@ -138,6 +138,20 @@ def test_leak_beside_others():
     assert _leaks(item, item[:11], other[:14], item[30:41]) == [] == _leaks(item[:12], item[:6], other * 2, item[6:12])
 
 
+def test_leak_shared(spark, monkeypatch):
+    """Passages under many ids, close variants and passages of a word or two are found, in whatever blocks they come."""
+    r = random.Random(9)
+    base = [w + "aeiou"[r.randrange(5)] for w in r.choices(WORDS, k=20)]
+    variants = [" ".join([*base[:k], "aliter", *base[k + 1 :]]) for k in range(14, 20)]
+    items = [*((k, " ".join(base)) for k in range(5)), *((10 + k, v) for k, v in enumerate(variants)), (20, "brevis textus"), (21, "Unicum!"), (22, "brevis liber tertius")]
+    docs = spark.createDataFrame([(1, "x " + " ".join(base[:12]) + " y"), (2, "hic brevis textus est"), (3, "unicum est"), (4, "textus liber"), (5, "brevis 3. liber tertius")], "doc_id long, text string")
+    want = sorted([*((1, k) for k in range(5)), *((1, 10 + k) for k in range(6)), (2, 20), (3, 21), (5, 22)])
+    frame = spark.createDataFrame(items, "item_id long, passage string")
+    assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == want
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
+    assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == want
+
+
 BAD = [
     "Liber {{work.title}}, v. 3", "${sigla} amat", "<%= citation %>", "&lt;%book%&gt; x", "%(verse)s", "@@editor@@", "<<PUBLISHER>>", "__PAGE_NO__", "%EDITION%", "[CHAPTER_NUMBER]", "[translator goes here]", "[INSERT VERSE HERE]", "<insert year>", "TODO: author name",
     "Titulus: <undefined>", "[object Object]", "Lorem ipsum dolor sit amet consectetur elit", "bla bla bla bla bla", "tbd tbd tbd tbd", "______ ____ ______", "[ ] [ ] [ ] [ ]", ". . . . . . .", "Error 404: Not Found", "503 Service Unavailable", "HTTP 500",

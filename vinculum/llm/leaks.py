@@ -1,6 +1,6 @@
 """Test passages that stand, whole or in part, in training texts.
 
-Seeds are word trigrams of the test items that few items share; a text that holds seeds of an item, and enough of its words, is aligned with it
+Seeds are the word trigrams of the test items; a text that holds seeds of an item, and enough of its words, is aligned with it
 by Smith-Waterman over words, and the alignments say how long a stretch of the item stands there in order. The seeds and
 the items of a block go to every task (their size is bounded by the block); the corpus is read once a block and not shuffled.
 """
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N = 3
-SHARED = 3  # a trigram in more items than this is a formula, no seed
 STRETCH = 12
 WINDOW = 17  # of any leak some so many words of the item hold the least number of matched ones
 NOTE = 40  # words of the longest note between two words of a stretch
@@ -51,21 +50,33 @@ def words_of(text: str) -> list[str]:
 
 
 class Index:
-    """Words and seeds of a block of items as sorted integer arrays."""
+    """Words and seeds of a block of items as sorted integer arrays. Items of the same words are one, with all their ids.
+
+    Every trigram of an item is a seed, however many items share it; an item too short to hold one whatever stands
+    between its words is looked for by its least shared word.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: dict[str, int] = {}
-        self.items = [([i], np.array([self.words.setdefault(w, len(self.words) + 1) for w in words_of(t)], dtype=np.int64)) for i, t in items]
+        ids: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for i, t in items:
+            ids[tuple(self.words.setdefault(w, len(self.words) + 1) for w in words_of(t))].append(i)
+        self.items = [(i, np.array(w, dtype=np.int64)) for w, i in ids.items() if w]
         self.base = len(self.words) + 1
-        where: dict[int, set[int]] = defaultdict(set)
+        sharing = Counter(x for _, w in self.items for x in set(w.tolist()))
+        where: dict[int, list[int]] = defaultdict(list)
+        self.rarest: dict[int, list[int]] = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
-            for g in self.grams(w).tolist():
-                where[g].add(k)
-        rare = {g: sorted(ks) for g, ks in where.items() if len(ks) <= SHARED}
-        self.seeds = np.array(sorted(rare), dtype=np.int64)
-        self.owners = [rare[g] for g in self.seeds.tolist()]
+            if len(w) < 2 * N:
+                self.rarest[min(w.tolist(), key=lambda x: (sharing[x], x))].append(k)
+            else:
+                for g in set(self.grams(w).tolist()):
+                    where[g].append(k)
+        self.seeds = np.array(sorted(where), dtype=np.int64)
+        self.owners = [where[g] for g in self.seeds.tolist()]
+        self.single = np.zeros(self.base, dtype=bool)
+        self.single[list(self.rarest)] = True
         self.present = np.zeros(self.base, dtype=bool)
-        self.short = [k for k, (_, w) in enumerate(self.items) if len(w) and not any(len(where[g]) <= SHARED for g in self.grams(w).tolist())]
 
     def grams(self, w: np.ndarray) -> np.ndarray:
         if len(w) < N:
@@ -84,6 +95,10 @@ class Index:
             for pos, s in zip(at[self.seeds[p] == g].tolist(), p[self.seeds[p] == g].tolist()):
                 for k in self.owners[s]:
                     found[k].append(pos)
+        if self.rarest:
+            for pos in np.flatnonzero(self.single[w]).tolist():
+                for k in self.rarest[int(w[pos])]:
+                    found[k].append(pos)
         return found
 
     def may_hold(self, item: np.ndarray, text: np.ndarray) -> bool:
@@ -220,7 +235,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, detail: bool = False) -> DataF
     schema = f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, matched int, span int"
     parts = []
     for b in range(blocks):
-        block = [(r.item_id, r.passage) for r in clean.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+        block = [(r.item_id, r.passage) for r in clean.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b).collect()]
         parts.append(docs.where(F.length("text") > 0).select("doc_id", "text").mapInArrow(_scanner(sorted(block, key=str)), schema))
     found = parts[0]
     for p in parts[1:]:

@@ -100,6 +100,16 @@ def test_rounds_equal_one_task(spark):
     assert rows(resolved(spark, toks, whole_doc_rows=1).select(cols)) == rows(resolved(spark, toks).select(cols))
 
 
+def test_rounds_equal_one_task_on_loops(spark):
+    """Both ways give the same on loops: the value a loop reaches, the token that stays without one, where a cycle is told."""
+    r = random.Random(12)
+    toks = [tok("l", 0, "a", r1="b"), tok("l", 1, "b", r1="a", r2="c"), tok("l", 2, "c", unit="c", r1="root")] + [t for k in range(40) for t in random_tokens(r, f"d{k}", 14, False)]
+    cols = ["doc_id", "id", "unit_id", "is_anchor", "parent", "depth", "problem"]
+    large = resolved(spark, toks, whole_doc_rows=1).select(cols).cache()
+    assert [x.unit_id for x in large.where("doc_id = 'l'").orderBy("id").collect()] == ["c", "c", "c"]
+    assert rows(large) == rows(resolved(spark, toks).select(cols))
+
+
 def test_empty_and_extra_columns(spark):
     empty = G.latest(graph(spark, []))
     assert G.resolve(empty).count() == 0 and R.surface_text(empty).count() == 0 and G.edge_triples(empty).count() == 0

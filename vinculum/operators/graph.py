@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vinculum.operators.hierarchy import hierarchy, loop_nodes
+from vinculum.operators.hierarchy import hierarchy
 from vinculum.runtime import cut
 from vinculum.schemas import IMPLIED, PALETTE, ROOT, vocabulary
 
@@ -179,17 +179,134 @@ def _resolve_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pack(_resolve_document(doc, rows))
 
 
-def resolve_rounds(nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """doc_id, id, comp for every id in links (doc_id, id, other): the least id connected with it, whatever the direction.
+
+    Large and small stars by turns, each round halving distances: every id ends as a leaf of its component's least one.
+    """
+    both = lambda e: e.unionByName(e.select("doc_id", F.col("id").alias("other"), F.col("other").alias("id")))
+    star = links.select("doc_id", F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
+    loose = star.where("id = other").select("doc_id", "id", F.col("id").alias("comp"))
+    edges_ = cut(star.where("id <> other"))
+    last = None
+    while True:
+        near = both(edges_)
+        least = near.groupBy("doc_id", "id").agg(F.least(F.min("other"), F.col("id")).alias("m"))
+        far = near.join(least, ["doc_id", "id"]).where("other > id").select("doc_id", F.col("other").alias("id"), F.col("m").alias("other")).where("id <> other").distinct()
+        low = far.groupBy("doc_id", "id").agg(F.min("other").alias("m"))
+        tied = far.join(low, ["doc_id", "id"]).where("other <> m").select("doc_id", F.col("other").alias("id"), F.col("m").alias("other"))
+        edges_ = cut(tied.unionByName(low.select("doc_id", "id", F.col("m").alias("other"))).distinct())
+        now = tuple(edges_.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "id", "other").cast("decimal(38,0)"))).first())
+        if now == last:
+            break
+        last = now
+    leaves = edges_.select("doc_id", "id", F.col("other").alias("comp"))
+    known = leaves.unionByName(edges_.select("doc_id", F.col("other").alias("id"), F.col("other").alias("comp"))).distinct()
+    return known.unionByName(loose.join(known, ["doc_id", "id"], "left_anti"))
+
+
+def _unit_values(rows: list[tuple]) -> dict:
+    """Values of tokens (id, candidates (id, value if known)) in list order: depth first, a token reached again gives none."""
+    by = {i: [(c["c"], c["value"]) for c in cs] for i, cs in rows}
+    known: dict = {}
+    for start in by:
+        stack, open_ = [start], set()
+        todo = {}
+        while stack:
+            i = stack[-1]
+            if i in known:
+                stack.pop()
+                continue
+            if i not in open_:
+                open_.add(i)
+                todo[i] = iter(by[i])
+                at = None
+            else:
+                at = known.get(todo[i, "at"])
+            while at is None and (nxt := next(todo[i], None)) is not None:
+                c, at = nxt
+                if at is None and c not in open_:
+                    if c not in known:
+                        todo[i, "at"] = c
+                        stack.append(c)
+                        break
+                    at = known[c]
+            else:
+                known[i] = at
+                open_.discard(i)
+                stack.pop()
+    return known
+
+
+def _reached_values(rows: list[tuple]) -> dict:
+    """Values of tokens (as `_unit_values`) each by a search of its own: the first value met in depth."""
+    by = {i: [(c["c"], c["value"]) for c in cs] for i, cs in rows}
+    known: dict = {}
+    for start in by:
+        seen, stack, value = set(), [(start, None)], None
+        while stack and value is None:
+            i, value = stack.pop()
+            if value is None and i not in seen and known.get(i, i) is not None:
+                seen.add(i)
+                stack += by[i][::-1]
+        known[start] = value
+        if value is None:
+            known.update(dict.fromkeys(seen))
+    return known
+
+
+def _loop_entries(rows: list[tuple]) -> dict:
+    """Of anchors (id, [governor]) that lead into one loop: where the walk from the first in list order comes round."""
+    by = {i: cs[0]["c"] for i, cs in rows}
+    seen, i = set(), rows[0][0]
+    while i not in seen:
+        seen.add(i)
+        i = by[i]
+    return {j: "cycle" if j == i else None for j in by}
+
+
+def _by_component(pending: DataFrame, values) -> DataFrame:  # noqa: ANN001
+    """doc_id, id, value: `values` over each component of pending (doc_id, id, pos, cs), in list order.
+
+    cs: candidates (c, value) in order; those without value are pending as well.
+    """
+    links = pending.select("doc_id", "id", F.explode("cs").alias("c")).where("c.value is null").select("doc_id", "id", F.col("c.c").alias("other"))
+    sorted_ = pending.join(components(links), ["doc_id", "id"]).repartition("doc_id", "comp").sortWithinPartitions("doc_id", "comp", "pos").select("doc_id", "comp", "id", "cs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.string()), ("id", pa.string()), ("value", pa.string())])
+
+        def told(key: tuple, rows: list) -> pa.RecordBatch:
+            v = values(rows)
+            ids = [i for i, _ in rows]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array([v[i] for i in ids], pa.string())], schema=schema)
+
+        key, rows = None, []
+        for batch in batches:
+            for d, comp, i, cs in zip(*(c.to_pylist() for c in batch.columns)):
+                if (d, comp) != key:
+                    if rows:
+                        yield told(key, rows)
+                    key, rows = (d, comp), []
+                rows.append((i, cs))
+        if rows:
+            yield told(key, rows)
+
+    return sorted_.mapInArrow(run, "doc_id string, id string, value string")
+
+
+def resolve_rounds(nodes: DataFrame, on_loops=_unit_values, max_rounds: int = 10_000) -> DataFrame:  # noqa: ANN001
     """doc_id, id, value: first non-null along ordered candidates, for documents too large for one task.
 
-    nodes: doc_id, id, value (set on terminals), cands (ids in order). A token takes its first candidate's value once
-    that is known, and drops it if known to be none. Where nothing moves any more, the first candidates form loops: the
-    tokens on them drop that candidate. All rounds are joins on (doc_id, id) over what is still open.
+    nodes: doc_id, id, pos, value (set on terminals), cands (ids in order). A token takes its first candidate's value once
+    that is known, and drops it if known to be none; these rounds are joins on (doc_id, id) over what is still open.
+    Where nothing moves any more, the rest are loops and what waits for them: `on_loops` settles each component of them
+    in list order, as it would be within the whole document.
     """
     ids = nodes.select("doc_id", F.col("id").alias("c"))
     open_ = nodes.where(F.col("value").isNull())
-    known = open_.select("doc_id", "id", F.posexplode("cands").alias("prio", "c")).where("c is not null").join(ids, ["doc_id", "c"]).groupBy("doc_id", "id").agg(F.array_sort(F.collect_list(F.struct("prio", "c"))).alias("cs"))
-    pending = cut(known.select("doc_id", "id", F.col("cs.c").alias("cands")))
+    known = open_.select("doc_id", "id", "pos", F.posexplode("cands").alias("prio", "c")).where("c is not null").join(ids, ["doc_id", "c"]).groupBy("doc_id", "id").agg(F.first("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("prio", "c"))).alias("cs"))
+    pending = cut(known.select("doc_id", "id", "pos", F.col("cs.c").alias("cands")))
     done = cut(nodes.where(F.col("value").isNotNull()).select("doc_id", "id", "value").unionByName(open_.join(pending, ["doc_id", "id"], "left_anti").select("doc_id", "id", "value")))
     left = pending.count()
     for _ in range(max_rounds):
@@ -197,15 +314,17 @@ def resolve_rounds(nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             break
         head = pending.withColumn("c", F.col("cands")[0])
         met = cut(head.join(done.select("doc_id", F.col("id").alias("c"), F.struct("value").alias("hit")), ["doc_id", "c"], "left"))
-        moved = met.where("hit is not null")
-        if moved.isEmpty():
-            looping = loop_nodes(head.select("doc_id", "id", F.col("c").alias("parent")))
-            met = cut(head.join(looping.withColumn("hit", F.struct(F.lit(None).cast("string").alias("value"))), ["doc_id", "id"], "left"))
+        if met.where("hit is not null").isEmpty():
+            break
         rest = F.slice("cands", 2, 1 << 20)
         fresh = met.where("hit.value is not null or (hit is not null and size(cands) = 1)").select("doc_id", "id", F.col("hit.value").alias("value"))
         done = cut(done.unionByName(fresh))
-        pending = cut(met.where("hit is null or (hit.value is null and size(cands) > 1)").select("doc_id", "id", F.when(F.col("hit").isNull(), F.col("cands")).otherwise(rest).alias("cands")))
+        pending = cut(met.where("hit is null or (hit.value is null and size(cands) > 1)").select("doc_id", "id", "pos", F.when(F.col("hit").isNull(), F.col("cands")).otherwise(rest).alias("cands")))
         left = pending.count()
+    if left:
+        each = pending.select("doc_id", "id", "pos", F.posexplode("cands").alias("prio", "c")).join(done.select("doc_id", F.col("id").alias("c"), F.struct("value").alias("hit")), ["doc_id", "c"], "left")
+        some = each.where("hit is null or hit.value is not null").groupBy("doc_id", "id").agg(F.first("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("prio", "c", F.col("hit.value").alias("value")))).alias("cs"))
+        done = cut(done.unionByName(_by_component(some, on_loops)))
     return done
 
 
@@ -213,18 +332,20 @@ def _resolve_large(graph: DataFrame) -> DataFrame:
     verb, part = reverse_links(graph, "unit verb").withColumnRenamed("source", "verb"), reverse_links(graph, "circumstantial participle").withColumnRenamed("source", "part")
     absolute = F.coalesce(F.col("relationship1") == "ablative absolute", F.lit(False)) | F.coalesce(F.col("relationship2") == "ablative absolute", F.lit(False))
     g = cut(graph.join(verb, ["doc_id", "id"], "left").join(part, ["doc_id", "id"], "left"))
-    units = resolve_rounds(g.select("doc_id", "id", F.col("verbalunit").alias("value"), F.array("verb", F.when(absolute, F.col("part")), "related1", "related2").alias("cands")))
+    units = resolve_rounds(g.select("doc_id", "id", "pos", F.col("verbalunit").alias("value"), F.array("verb", F.when(absolute, F.col("part")), "related1", "related2").alias("cands")))
     anchor = F.coalesce(F.col("verbalunit") == F.col("id"), F.lit(False))
-    reach = resolve_rounds(g.select("doc_id", "id", F.when(anchor, F.col("id")).alias("value"), F.array("related1", "related2").alias("cands")))
-    anchors = g.where(anchor).select("doc_id", "id", "related1", "related2")
+    reach = resolve_rounds(g.select("doc_id", "id", "pos", F.when(anchor, F.col("id")).alias("value"), F.array("related1", "related2").alias("cands")), _reached_values)
+    anchors = g.where(anchor).select("doc_id", "id", "pos", "related1", "related2")
     for k in (1, 2):
         anchors = anchors.join(reach.select("doc_id", F.col("id").alias(f"related{k}"), F.col("value").alias(f"p{k}")), ["doc_id", f"related{k}"], "left")
     up = F.when(F.col("related1") != ROOT, F.coalesce(F.when(F.col("p1") != F.col("id"), F.col("p1")), F.when(F.col("p2") != F.col("id"), F.col("p2")))).otherwise(F.when(F.col("related1").isNull() & (F.col("p2") != F.col("id")), F.col("p2")))
-    anchors = cut(anchors.select("doc_id", "id", (F.col("related1") == ROOT).alias("is_root"), up.alias("parent")))
+    anchors = cut(anchors.select("doc_id", "id", "pos", (F.col("related1") == ROOT).alias("is_root"), up.alias("parent")))
     tree = hierarchy(anchors.select("doc_id", "id"), anchors.where("parent is not null").select("doc_id", "id", "parent"))
     roots = anchors.where("is_root").select("doc_id", F.col("id").alias("root"), F.lit(True).alias("good"))
-    deep = tree.join(roots, ["doc_id", "root"], "left").select("doc_id", "id", F.when(F.col("good"), F.col("depth")).alias("depth"), "on_loop")
-    told = anchors.join(deep, ["doc_id", "id"]).select("doc_id", "id", "parent", "depth", F.when(F.col("on_loop"), "cycle").when(~F.coalesce("is_root", F.lit(False)) & F.col("parent").isNull(), "no_governor").alias("problem"), F.lit(True).alias("is_anchor"))
+    deep = tree.join(roots, ["doc_id", "root"], "left").select("doc_id", "id", F.when(F.col("good"), F.col("depth")).alias("depth"))
+    round_ = cut(anchors.join(tree.where("on_loop or into_loop").select("doc_id", "id"), ["doc_id", "id"]).select("doc_id", "id", "pos", F.array(F.struct(F.col("parent").alias("c"), F.lit(None).cast("string").alias("value"))).alias("cs")))
+    cycle = cut(_by_component(round_, _loop_entries)).withColumnRenamed("value", "cycle") if not round_.isEmpty() else round_.select("doc_id", "id", F.lit(None).cast("string").alias("cycle"))
+    told = anchors.join(deep, ["doc_id", "id"]).join(cycle, ["doc_id", "id"], "left").select("doc_id", "id", "parent", "depth", F.when(F.col("cycle").isNotNull(), F.col("cycle")).when(~F.coalesce("is_root", F.lit(False)) & F.col("parent").isNull(), "no_governor").alias("problem"), F.lit(True).alias("is_anchor"))
     return units.withColumnRenamed("value", "unit_id").join(told, ["doc_id", "id"], "left").select("doc_id", "id", "unit_id", F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), "parent", F.col("depth").cast("int"), "problem")
 
 
@@ -237,7 +358,7 @@ def resolve(graph: DataFrame, whole_doc_rows: int = WHOLE_DOC_ROWS) -> DataFrame
     null, with problem `cycle` or `no_governor` where it starts, if no root is reached.
 
     Documents of up to `whole_doc_rows` rows are resolved each in one task, in list order; larger ones by rounds of
-    joins, which differ only in which token of a loop gets no value. Duplicate ids must have been removed (`latest`).
+    joins with the same result. Duplicate ids must have been removed (`latest`).
     """
     small = graph.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     large = small.where(F.col("n") > whole_doc_rows).select("doc_id")

@@ -186,6 +186,19 @@ def test_classifier_generalises():
     assert residue.text_score("", w, cache) == 0
 
 
+def test_threshold_keeps_positives(spark):
+    """The threshold is under every known positive, also one of negative score or with its residue far in a long segment."""
+    assert residue.threshold_under(2.0) == 2.0 * residue.MARGIN and residue.threshold_under(-2.0) < -2.0 and residue.threshold_under(0.0) == 0.0
+    seen, plain = [], residue.slots_of
+    residue.slots_of = lambda t, *a: seen.append(t) or plain(t, *a)
+    try:
+        far = "puella rosam amat " * 200 + "please enable javascript"
+        residue.fit(spark.createDataFrame([(1, 0, far, True), (2, 0, "rex videt", False)], "doc_id long, at int, raw string, label boolean"), rounds=1)
+    finally:
+        residue.slots_of = plain
+    assert far in seen
+
+
 def marked(text):
     """Ends of sentences of a text in which they are marked by |."""
     clean, ends = "", []

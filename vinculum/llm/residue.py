@@ -124,9 +124,9 @@ def fit(rows: DataFrame, most: int = SAMPLE_SEGMENTS, rounds: int = 100, l2: flo
     """(weights, threshold) of an L2-regularised logistic regression on at most `most` rows of each label.
 
     The bound keeps what reaches the driver constant. `EXAMPLES` are always among the positives.
-    The threshold is `MARGIN` times the lowest score of a positive. None where the sample has not both labels.
+    The threshold lies below the lowest score of a positive (`threshold_under`). None where the sample has not both labels.
     """
-    rows = rows.select("label", "at", F.substring("raw", 1, 2000).alias("raw"), F.xxhash64("doc_id", "raw").alias("h"))
+    rows = rows.select("label", "at", "raw", F.xxhash64("doc_id", "raw").alias("h"))
     got = [rows.where(F.col("label") == y).orderBy("h").limit(most).toPandas() for y in (True, False)]
     if not len(got[0]) or not len(got[1]):
         return None
@@ -146,7 +146,12 @@ def fit(rows: DataFrame, most: int = SAMPLE_SEGMENTS, rounds: int = 100, l2: flo
         w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.999**k)) + 1e-8)
     w = w.astype(np.float32)
-    return w, MARGIN * min(text_score(t, w, cache, first) for t, first in positive)
+    return w, threshold_under(min(text_score(t, w, cache, first) for t, first in positive))
+
+
+def threshold_under(lowest: float) -> float:
+    """A threshold under the lowest score of a known positive, whatever its sign."""
+    return lowest - (1 - MARGIN) * abs(lowest)
 
 
 def text_score(text: str, w: np.ndarray, cache: _Slots, first: bool = True) -> float:

@@ -176,3 +176,19 @@ def test_store_equals_recount(spark, tmp_path):
     changes = store.apply(T.record_terms(frame([("d1", "a")]), ["lemma"]))
     assert changes.where("d_documents = 1 and d_occurrences = 1").count() == 1
     assert F is not None
+
+
+def test_store_out_of_order(spark, tmp_path):
+    """A deletion that comes before its addition takes it away; layers are added up, and old ones and manifests go."""
+    frame = lambda x: spark.createDataFrame(x, "doc_id string, lemma string")
+    store = T.TermCountStore(spark, str(tmp_path / "counts"), buckets=2, layers=2)
+    store.apply(T.record_terms(frame([("d1", "a")]), ["lemma"], -1))
+    assert rows(store.terms()) == [] and rows(store.pairs()) == [("lemma", "a", "d1", -1)]
+    store.apply(T.record_terms(frame([("d1", "a"), ("d2", "a"), ("d2", "a")]), ["lemma"]))
+    assert rows(store.terms()) == [("lemma", "a", 2, 1)]
+    for k in range(4):
+        store.apply(T.record_terms(frame([(f"e{k}", "b")]), ["lemma"]))
+    assert rows(store.terms()) == [("lemma", "a", 2, 1), ("lemma", "b", 4, 4)] and len(store.manifest()[1]) <= 2
+    assert len(list((tmp_path / "counts" / "pairs").iterdir())) <= 5 and len([m for m in (tmp_path / "counts" / "manifest").iterdir() if m.name[0] == "v"]) == 2
+    store.apply(T.record_terms(frame([]), ["lemma"]))
+    assert store.terms().count() == 2

@@ -9,7 +9,7 @@ from vinculum.operators import hierarchy as H
 from vinculum.operators import orphans as O
 from vinculum.operators import rejects as R
 from vinculum.operators import termcounts as T
-from vinculum.runtime import table
+from vinculum.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "tokengraph")
-    return T.mark_terms(T.count_terms(rows, ["lemma", "relationship1"]), rows).where("mark is not null").select("field", "term", "mark")
+    return T.mark_terms(T.count_terms(rows, ["lemma", "relationship1"], "loaded_at"), rows).where("mark is not null").select("field", "term", "mark")
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -56,15 +56,14 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """
     rows = table(spark, d, "tokengraph").select("doc_id", "id", "lemma", "relationship1", "loaded_at")
     fields = ["lemma", "relationship1"]
-    span = rows.groupBy("doc_id", "id").agg(
+    span = cut(rows.groupBy("doc_id", "id").agg(
         F.min_by(F.struct("lemma", "relationship1"), "loaded_at").alias("old"), F.max_by(F.struct("lemma", "relationship1"), "loaded_at").alias("new"), (F.min("loaded_at") < F.max("loaded_at")).alias("changed")
-    )
-    first = T.record_terms(span.select("doc_id", "old.*"), fields)
+    ))
     later = T.record_terms(span.where("changed").select("doc_id", "old.*"), fields, -1).unionByName(T.record_terms(span.where("changed").select("doc_id", "new.*"), fields))
-    base = T.net_pairs(first).select("field", "term", "doc_id", F.col("dn").alias("n"))
-    zero = F.lit(0).cast("long").alias("before")
-    terms = T.term_delta(base.select("field", "term", "doc_id", zero, "n")).select("field", "term", F.col("d_occurrences").alias("occurrences"), F.col("d_documents").alias("documents"))
-    return T.merge_terms(terms, T.term_delta(T.merge_pairs(base, T.net_pairs(later))))
+    store = T.new_store(spark)
+    store.apply(T.record_terms(span.select("doc_id", "old.*"), fields))
+    store.apply(later)
+    return store.terms()
 
 
 _REC = """rec AS (SELECT doc_id, id, min(loaded_at) AS loaded_at, bool_or(deleted_at IS NOT NULL) AS deleted, max(related1) AS r1, max(verbalunit) AS vu, max(related2) AS r2 FROM tokengraph GROUP BY doc_id, id)"""

@@ -44,6 +44,10 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(H.hierarchy(*H.token_parents(table(spark, d, "tokengraph"))))
 
 
+def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return H.intervals(H.hierarchy(*H.token_parents(table(spark, d, "tokengraph"))))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "tokengraph")
     return T.mark_terms(T.count_terms(rows, ["lemma", "relationship1"], "loaded_at"), rows).where("mark is not null").select("field", "term", "mark")
@@ -106,7 +110,7 @@ counts AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT doc_id) A
 marked AS (SELECT field, term, CASE WHEN documents < 3 THEN 'rare' WHEN documents * 3 > n THEN 'common' END AS mark FROM counts, total)
 SELECT field, term, mark FROM marked WHERE mark IS NOT NULL"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_passages, p2_tokens, p3_found, p3_paths, p3_descendants, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_passages, p2_tokens, p3_found, p3_paths, p3_descendants, p3_intervals, p5_found, p5_counts)}
 
 SQL = {
     "p1_found": _P1 + "SELECT * FROM found",
@@ -120,6 +124,9 @@ FROM rec LEFT JOIN tree t ON t.doc_id = rec.doc_id AND t.id = rec.id LEFT JOIN l
     + """, down AS (SELECT doc_id, parent AS id, id AS descendant, 1 AS distance FROM links WHERE EXISTS (SELECT 1 FROM tree t WHERE t.doc_id = links.doc_id AND t.id = links.id)
   UNION ALL SELECT d.doc_id, l.parent, d.descendant, d.distance + 1 FROM down d JOIN links l ON l.doc_id = d.doc_id AND l.id = d.id)
 SELECT doc_id, id, descendant, distance FROM down""",
+    "p3_intervals": _LINKS
+    + """, ranked AS (SELECT doc_id, id, depth, row_number() OVER (PARTITION BY doc_id ORDER BY replace(path, '>', chr(1))) - 1 AS entry FROM tree)
+SELECT a.doc_id, a.id, a.entry, coalesce((SELECT min(b.entry) FROM ranked b WHERE b.doc_id = a.doc_id AND b.entry > a.entry AND b.depth <= a.depth), (SELECT count(*) FROM ranked b WHERE b.doc_id = a.doc_id)) - a.entry - 1 AS below FROM ranked a""",
     "p5_found": _P5,
     "p5_counts": """WITH rec AS (SELECT doc_id, id, arg_max(struct_pack(l := lemma, r := relationship1), loaded_at) AS v FROM tokengraph GROUP BY doc_id, id),
 terms AS (SELECT 'lemma' AS field, v.l AS term, doc_id FROM rec WHERE v.l IS NOT NULL UNION ALL SELECT 'relationship1', v.r, doc_id FROM rec WHERE v.r IS NOT NULL)

@@ -76,21 +76,22 @@ WORDS = "terra luna stella mare silva flumen mons campus puer puella rex regina
 
 
 def test_alignment_is_smith_waterman():
+    """The best score is that of the plain recurrence, in which a gap in the text costs no more than a note."""
     r = random.Random(3)
 
     def score(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
-                h[i][j] = max(0, h[i - 1][j - 1] + (leaks.MATCH if a[i - 1] == b[j - 1] else leaks.MISS), h[i - 1][j] + leaks.GAP, h[i][j - 1] + leaks.GAP)
+                jump = max(h[i][k] + max(leaks.GAP * (j - k), leaks.NOTED) for k in range(j))
+                h[i][j] = max(0, h[i - 1][j - 1] + (leaks.MATCH if a[i - 1] == b[j - 1] else leaks.MISS), h[i - 1][j] + leaks.GAP, jump)
         return max(map(max, h))
 
     for _ in range(200):
-        a, b = [[r.randrange(1, 5) for _ in range(r.randrange(1, 12))] for _ in range(2)]
-        matched, first, last, wide = leaks.align(np.array(a), np.array(b))
-        span = last - first + 1
-        # the path's score follows from its matches only if nothing is missed; a bound holds always
-        assert 2 * matched >= score(a, b) and (not matched or (0 <= first <= last < len(a) and wide <= len(b))) and span >= (matched > 0)
+        a, b = [[r.randrange(1, 5) for _ in range(r.randrange(1, 14))] for _ in range(2)]
+        got, path, start = leaks.best_path(np.array(a)[:, None] == np.array(b)[None, :])
+        assert got == score(a, b)
+        assert all(a[i] == b[j] and j >= start for i, j in path) and all(x < y and u < v for (x, u), (y, v) in zip(path, path[1:]))
 
 
 def test_leaks(spark):
@@ -109,15 +110,42 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs.limit(0), items).count() == 0 and leaks.find_leaks(docs, items.limit(0)).count() == 0
 
 
-def test_leak_blocks(spark, monkeypatch):
-    """More items than one block holds are searched block by block, with the same result."""
+def test_leaks_joined(spark):
+    """More items than go to every task are joined by their seeds, with the same result; ids may be of any type."""
     r = random.Random(5)
-    items = [(k, " ".join(r.choice(WORDS) + "aeiou"[r.randrange(5)] for _ in range(16))) for k in range(40)]
-    docs = spark.createDataFrame([(k, "x y " + t + " z") for k, t in items if k % 3 == 0], "doc_id long, text string")
-    frame = spark.createDataFrame(items, "item_id long, passage string")
-    whole = sorted(map(tuple, leaks.find_leaks(docs, frame).collect()))
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 9)
-    assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == whole == [(k, k) for k, _ in items if k % 3 == 0]
+    items = [(f"i{k}", " ".join(r.choice(WORDS) + "aeiou"[r.randrange(5)] for _ in range(16))) for k in range(40)]
+    docs = spark.createDataFrame([(f"d{i}", "x y " + t + " z") for k, (i, t) in enumerate(items) if k % 3 == 0] + [(None, items[1][1]), ("copy", items[1][1])], "doc_id string, text string")
+    frame = spark.createDataFrame(items, "item_id string, passage string")
+    whole = sorted(map(tuple, leaks.find_leaks(docs, frame, True).collect()), key=str)
+    assert sorted(map(tuple, leaks.find_leaks(docs, frame, True, most_items=9).collect()), key=str) == whole
+    assert [x[:2] for x in whole] == sorted([*((f"di{k}", f"i{k}") for k in range(0, 40, 3)), (None, "i1"), ("copy", "i1")], key=str)
+    assert leaks.find_leaks(docs.limit(0), frame, most_items=0).count() == 0
+
+
+def test_leak_scripts(spark):
+    """Items of any script, under any number of ids, and of a word or two."""
+    greek = "μῆνιν ἄειδε θεὰ Πηληϊάδεω Ἀχιλῆος οὐλομένην ἣ μυρί Ἀχαιοῖς ἄλγε ἔθηκε πολλὰς δ ἰφθίμους ψυχὰς"
+    thai, cjk, latin = "ประตูเขียนหนังสือประตู", "山高水長風花雪月古今人馬城門石舟", "arma uirumque cano troiae qui primus ab oris italiam fato profugus lauiniaque uenit"
+    for copies in (4, 40):
+        items = [(k, t) for k, t in enumerate([greek] * copies + [latin] * copies)] + [(900, thai), (901, cjk), (902, "rex venit")]
+        docs = spark.createDataFrame([(1, "x " + greek.upper() + " y"), (2, "α " + " ".join(greek.split()[2:15])), (3, "หิน " + thai + "หิน"), (4, "「" + cjk[:13] + "」"), (5, latin.replace("u", "v")), (6, "hic Rex Venit"), (7, "βίος ὁ δὲ")], "doc_id long, text string")
+        want = sorted([*((d, k) for d in (1, 2) for k in range(copies)), (3, 900), (4, 901), *((5, k) for k in range(copies, 2 * copies)), (6, 902)])
+        frame = spark.createDataFrame(items, "item_id long, passage string")
+        assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == want
+    assert sorted(map(tuple, leaks.find_leaks(docs, frame, most_items=0).collect())) == want
+
+
+def test_leak_in_repeated_formula():
+    """A long text that repeats a formula of a long item is aligned in windows of bounded size."""
+    item = ["q" + "".join("abcdefghkl"[int(c)] for c in f"{k:04d}") for k in range(3000)]
+    formula = item[:3] * 4000
+    widest, plain = [0], leaks.best_path
+    leaks.best_path = lambda same: widest.append(same.size) or plain(same)
+    try:
+        assert _leaks(item, formula, item[1500:1540], formula) == [(40, 40)] and _leaks(item, formula) == []
+    finally:
+        leaks.best_path = plain
+    assert max(widest) <= leaks.TEXT_WINDOW * leaks.ITEM_WINDOW
 
 
 def _leaks(item, *text):
@@ -138,8 +166,8 @@ def test_leak_beside_others():
     assert _leaks(item, item[:11], other[:14], item[30:41]) == [] == _leaks(item[:12], item[:6], other * 2, item[6:12])
 
 
-def test_leak_shared(spark, monkeypatch):
-    """Passages under many ids, close variants and passages of a word or two are found, in whatever blocks they come."""
+def test_leak_shared(spark):
+    """Passages under many ids, close variants and passages of a word or two are found, whichever way the items go."""
     r = random.Random(9)
     base = [w + "aeiou"[r.randrange(5)] for w in r.choices(WORDS, k=20)]
     variants = [" ".join([*base[:k], "aliter", *base[k + 1 :]]) for k in range(14, 20)]
@@ -148,8 +176,7 @@ def test_leak_shared(spark, monkeypatch):
     want = sorted([*((1, k) for k in range(5)), *((1, 10 + k) for k in range(6)), (2, 20), (3, 21), (5, 22)])
     frame = spark.createDataFrame(items, "item_id long, passage string")
     assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == want
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
-    assert sorted(map(tuple, leaks.find_leaks(docs, frame).collect())) == want
+    assert sorted(map(tuple, leaks.find_leaks(docs, frame, most_items=3).collect())) == want
 
 
 BAD = [

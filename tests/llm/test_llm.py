@@ -200,30 +200,41 @@ def test_residue(spark):
     # sources never seen in training hold the same kinds of residue
     more = docs.unionByName(spark.createDataFrame([(2000 + 100 * j + k, t + f" {j}", f"host{j}", None) for j in range(12) for k, t in enumerate(BAD)], docs.schema))
     seen = residue.validation(more).first()
-    assert seen.right >= 0.9 * seen.positives > 0
+    assert seen.found_right >= 0.9 * seen.positives > 0 and seen.alone_right >= 0.8 * seen.positives and seen.found - seen.found_right <= 0.1 * seen.found
 
 
-def test_classifier_generalises():
-    """Texts that share words with labelled ones, but are none of them, score over those that share nothing."""
+@pytest.fixture(scope="module")
+def trained(spark):
+    r = random.Random(8)
+    prose = lambda: " ".join(" ".join(r.choices([*WORDS, "rosam", "amat", "videt"], k=r.randrange(2, 12))).capitalize() + "." for _ in range(r.randrange(1, 7)))
+    texts = [(k, f"s{k % 17}", prose()) for k in range(1500)]
+    texts += [(2000 + 100 * j + k, f"s{(7 * j + k) % 17}", f"{prose()} {t} {prose()}" if j % 2 else t) for j in range(14) for k, t in enumerate(BAD)]
+    texts += [(4000 + k, f"s{k % 17}", f"{prose()} The web edition needs no JavaScript. The word undefined stands for a noun.") for k in range(40)]
+    return residue.fit(residue.training_rows(residue.usable(spark.createDataFrame(texts, "doc_id long, source string, text string"))))
+
+
+def test_classifier_alone(trained):
+    """The classifier tells apart what it was taught, and wordings and fields that no weak label knows."""
     cache = residue._Slots()
-    w = np.zeros(residue.SLOTS)
-    uni, bi = residue.slots_of("please enable javascript", cache)
-    w[uni], w[bi] = 1, 1
-    assert residue.text_score("now please enable javascript here", w, cache) > residue.text_score("puella rosam amat", w, cache)
-    assert residue.text_score("", w, cache) == 0
-
-
-def test_threshold_keeps_positives(spark):
-    """The threshold is under every known positive, also one of negative score or with its residue far in a long segment."""
-    assert residue.threshold_under(2.0) == 2.0 * residue.MARGIN and residue.threshold_under(-2.0) < -2.0 and residue.threshold_under(0.0) == 0.0
-    seen, plain = [], residue.slots_of
-    residue.slots_of = lambda t, *a: seen.append(t) or plain(t, *a)
-    try:
-        far = "puella rosam amat " * 200 + "please enable javascript"
-        residue.fit(spark.createDataFrame([(1, 0, far, True), (2, 0, "rex videt", False)], "doc_id long, at int, raw string, label boolean"), rounds=1)
-    finally:
-        residue.slots_of = plain
-    assert far in seen
+    score = lambda t: residue.text_score(t, trained, cache)
+    for t in ("Mensa {{bibliotheca_nova}} stat.", "Please enable scripts, JavaScript is off to read this.", "Error 404: this is Not here Found", "<<PRAEFATIO>>", "bla bla bla blub bla"):
+        assert not any(p in t.lower() for p in residue.PHRASES) or "{{" in t
+        assert score(t) > 0 > score("Puella rosam amat. Rex videt."), t
+    assert score("The web edition needs no JavaScript.") < trained.sure and score("") == -np.inf
+    long = "puella rosam amat " * 400
+    assert score(long + "Please enable JavaScript to read this." + long) > 0 > score(long)
+    assert trained.likely < trained.sure and residue.BAND[0] <= trained.likely <= residue.BAND[1]
+
+
+def test_window_scores():
+    """Each window counts the features that lie whole within it, and no others."""
+    r = np.random.default_rng(3)
+    w = np.r_[r.normal(size=residue.SLOTS), 0.0]
+    _, f = residue.features("a b c. d e f, g h 12 i j k l {{m}} n o p q r s", residue._Slots())
+    got = residue.window_scores(f, w)
+    assert len(got) == f.shape[1] - residue.WINDOW + 1
+    assert got == pytest.approx([w[residue._cut_out(f, at)].sum() for at in range(len(got))])
+    assert residue.window_scores(f[None], w)[0] == pytest.approx(got)
 
 
 def marked(text):

@@ -1,22 +1,29 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-A text is cut into segments; an L2-regularised logistic regression over hashed uni- and bigrams, length and title
-features, trained on weak labels from response statuses and phrases, scores every segment; a document with a segment
-over the calibrated threshold is a candidate, and an exact check of the unquoted phrases decides. Scoring is one
-vectorised projection without a shuffle.
+An L2-regularised logistic regression over windows of a few tokens: hashed uni-, bi- and trigrams, the shapes of three and
+four tokens, repetition, length and title. It is trained on weak labels (response statuses, phrases and forms of
+placeholders found in a bounded sample), with hard negatives mined in rounds, and calibrated on sources it was not trained
+on. A document whose best window scores over all that is known to be none is residue by the classifier alone, whether
+the weak labels know its words or not; in the band below an exact check follows. Scoring is one vectorised projection
+without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vinculum.runtime import cut
+
 # Names of fields that templates of this kind of edition leave unfilled.
 _NAME = r"(?:work|passage|author|chapter|token|page|translator|editor|edition|sigla|verse|book|year|publisher|urnbase|citation|lemma|relationship\d?|title|name|number|text|id|no|urn|date|line|section|url|language)"
 _FIELD = rf"(?:{_NAME}(?:[ _.]{_NAME})*|[A-Z]+(?:_[A-Z]+)+)"
@@ -38,35 +45,31 @@ SCRIPTS = r"(?=[eatsEATS])\b(?i:enable|activate|allow|turn on|switch on|activar|
 STRUCTURE = f"{PLACEHOLDER}|{FILLER}|{ERROR}|{SCRIPTS}"
 PHRASES = [
     "lorem ipsum", "dummy passage", "dummy text", "this is a placeholder", "this is placeholder", "placeholder copy", "placeholder text", "sample text.", "sample passage.", "content coming soon", "not written yet",
-    "text to be supplied", "text to be added", "text will follow", "under construction", "replace this text", "replace this passage", "text goes here", "hier folgt text", "passage text to be",
+    "text to be supplied", "text to be added", "text will follow", "under construction", "replace this text", "replace this passage", "text goes here", "hier folgt text", "hier steht später der text", "le texte viendra", "le texte de ce passage viendra", "il testo seguirà", "el texto vendrá", "passage text to be",
     "access denied.", "you do not have permission", "pagina non inventa est", "page demandée est introuvable", "pagina richiesta non esiste", "seite wurde nicht gefunden", "página no existe", "página no encontrada",
     "could not resolve the urn", "your session has expired", "please log in again", "database connection failed", "rate limit reached", "rate limit exceeded", "the server is busy", "traceback (most recent call last)", "warning: undefined ",
     "fatal error: ", "upstream connect error", "disconnect before headers", "page you are looking for", "could not be found on this server", "temporarily down for maintenance", "did not answer in time", "something went wrong", "segmentation fault",
     "javascript is disabled", "javascript must be", "javascript is required", "scripts must be", "requires javascript", "page needs javascript", "does not run scripts", "does not support javascript", "<noscript>", "checking your browser",
     "reload after changing the setting", "verify you are human", "verifying you are human",
 ]
-# The phrases with one example of each structure: labelled rows that every training gets, so that a kind that the sample
-# happens not to hold is known all the same.
-EXAMPLES = [
-    *PHRASES, "qwer hjkl asdfasdf sdfg test jklö", "yxcv zxcv qwerty jkl asdf", "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua", "bla bla bla bla", "blah blah blah blah", "tbd tbd tbd tbd", "xxx xxx xxx xxx", "xxxx xxxx xxxx xxxx",
-    "test test test test", "text text text text", "textus textus textus textus", "passage passage passage passage", "blindtext blindtext blindtext blindtext", "dummy dummy dummy dummy", "foo foo foo foo", "n/a n/a n/a n/a", "text here text here text here text here", "todo todo todo todo", "null null null null",
-    "placeholder placeholder placeholder placeholder", "word1 word2 word3 word4", "word 1 word 2 word 3", "[ ] [ ] [ ] [ ]", "_______ ______ _____ ____", "0000 0000 0000 0000", "00000000 0000 0000", "??? ??? ??? ???", "?????? ??? ??? ???", ". . . . . . .", "error 404", "http 500", "fehler 403", "erreur 503", "errore 404", "status 502",
-    *(f"{code} {status}" for code, status in zip((404, 403, 401, 400, 502, 504, 503, 500, 429, 410), ("not found", "forbidden", "unauthorized", "bad request", "bad gateway", "gateway timeout", "service unavailable", "internal server error", "too many requests", "gone"))),
-    *(f"{status} (404)" for status in ("not found", "forbidden", "unauthorized", "bad gateway", "gateway timeout", "service unavailable", "internal server error", "too many requests", "gone")), "http 404 – not found", "valueerror: x", "keyerror: 'x'", "java.lang.nullpointerexception at x", "try again in 30 seconds", "request id nan",
-    "{{title}}", "{{ title }}", "{{#each title}}", "${title}", "#{title}", "$[title]", "<%= title %>", "<%title%>", "<?= $title ?>", "&lt;%title%&gt;", "{% include title %}", "%(title)s", "{title:s}", "@@title@@", "<<TITLE>>", "__TITLE__", "%TITLE%", "[[TITLE]]", "[TITLE]", "[WORK_TITLE]", "<insert title>", "[insert title here]",
-    "[title goes here]", "todo: title", "<undefined>", "<null>", "[object object]", "please enable javascript", "bitte aktivieren sie javascript", "veuillez activer javascript", "active el uso de scripts", "abilita javascript", "turn on scripts and cookies",
-]
 # a mention inside quotation marks is no residue; straight quotes only where they hold nothing but the mention
 QUOTED = rf"(?=[“„‘«\"])(?:“[^“”„]{{1,150}}”|„[^“”„]{{1,150}}“|‘[^‘’]{{1,100}}’|«[^«»]{{1,150}}»|\"(?:{PLACEHOLDER}|[45]\d\d not found)\")"
 INVISIBLE = r"[­​-‍⁠﻿]"
 
-SLOTS = 1 << 16
-SAMPLE_DOCS = 8_000
-SAMPLE_SEGMENTS = 30_000
-MARGIN = 0.5
-CUTS = r"(?<=[\p{L}\p{N})\]”’»\"][.!?…])\s+|(?<=[。！？።፧])|\n\s*\n"
-TOKENS = r"[^\W\d_]+|\d+|[!-/:-@\[-`{-~]+|[^\w\s]"
+SLOTS = 1 << 18
+WINDOW = 10  # tokens that are judged together
+PIECE = 40  # tokens of a training row, with the WINDOW - 1 before it
+SAMPLE_DOCS = 20_000
+SAMPLE_PIECES = 60_000
+SEEN = 3  # training rows that a feature must stand in
+HELD = 5  # every so many sources are kept for calibration
+STRAY = 5e-4  # of unlabelled pieces so many may hold residue that the weak labels do not know: the highest scores are no negatives
+DRAWN = 3  # of every so many unlabelled pieces one window is drawn; the others give windows where they score high
+MARGIN = 1.0
+BAND = (-5.0, -3.0)  # the band of the exact check begins within
+TOKENS = r"[^\W\d_]+|\d+|_+|[^\w\s]"
 CACHE = 300_000
+WEAK = regex.compile(STRUCTURE + "|(?i:" + "|".join(map(regex.escape, PHRASES)) + ")")
 
 
 def flattened(text: Column) -> Column:
@@ -74,135 +77,278 @@ def flattened(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"(?U)\s+", " "), QUOTED, "")
 
 
-def is_residue(text: Column) -> Column:
-    """Exact check of a text, flattened first: phrases, or the structure of placeholders, filler and statuses."""
+def holds_residue(flat: Column) -> Column:
+    """Exact check of a flattened text: phrases, or the structure of placeholders, filler and statuses."""
 
     def check(flat: Column) -> Column:
         phrase = F.exists(F.array(F.lower(flat)), lambda low: reduce(Column.__or__, [low.contains(p) for p in PHRASES]))
         return phrase | flat.rlike(STRUCTURE)
 
-    return F.exists(F.array(flattened(text)), check)  # bound once; inlined, it would be computed for every phrase
+    return F.exists(F.array(flat), check)  # bound once; inlined, it would be computed for every phrase
+
+
+def is_residue(text: Column) -> Column:
+    """The weak label of a document."""
+    return holds_residue(flattened(text))
 
 
 class _Slots(dict):
-    """Token to slot; digits count by their number."""
+    """Token to the slots of its form and of its shape; digits count by their number."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) > CACHE:
             self.clear()
-        self[token] = slot = zlib.crc32(("#%d" % len(token) if token.isdigit() else token).encode()) % SLOTS
-        return slot
+        form = "#%d" % len(token) if token.isdigit() else token.lower()
+        shape = token if not token[0].isalpha() else "A" if token.isupper() else "a" if token.islower() else "Aa" if token[0].isupper() else "x"
+        self[token] = slots = (_slot(form), _slot("shape " + ("#" if token.isdigit() else shape)))
+        return slots
 
 
-def slots_of(text: str, cache: _Slots, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the unigrams and of the bigrams that end at each of them; the start of a text (its title) is a token."""
-    uni = np.fromiter(map(cache.__getitem__, _FIND(text.lower())), dtype=np.int64)
-    before = np.empty_like(uni)
-    if len(uni):
-        before[1:], before[0] = uni[:-1], 1 if first else 2
-    return uni, (before * 31337 + uni * 7919 + 17) % SLOTS
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % SLOTS
 
 
-_FIND = re.compile(TOKENS).findall
+_FIND = re.compile(TOKENS).finditer
+_NONE = SLOTS  # a feature that is not there; its weight is 0
+_REACH = np.array([1, 2, 3, 3, 4, 2, 1, 1])  # tokens that each feature spans
+_TITLE, _REPEATED = _slot("title"), _slot("repeated")
 
 
-def _length_slot(n: int) -> int:
-    return zlib.crc32(b"length%d" % min(14, n.bit_length())) % SLOTS
+def features(text: str, cache: _Slots) -> tuple[list, np.ndarray]:
+    """(token matches, slots): for each token the slots of the features that end at it, one row a kind of feature.
 
-
-def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, source, at, raw, label for the segments of about `sample_docs` documents chosen by a hash of their id.
-
-    label: the weak label, from statuses and phrases.
+    Kinds: form, two and three forms, three and four shapes, repetition, length of the text, title (its first token).
     """
-    n = max(1, docs.count() // sample_docs)
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).select("doc_id", "source", F.posexplode(F.split("text", CUTS)).alias("at", "raw"))
-    return part.where(F.trim("raw") != "").withColumn("label", is_residue(F.col("raw")))
+    found = list(_FIND(text))
+    n = len(found)
+    out = np.full((len(_REACH), n), _NONE, dtype=np.int64)
+    if not n:
+        return found, out
+    form, shape = np.array([cache[m.group()] for m in found], dtype=np.int64).T
+    out[0] = form
+    out[1, 1:] = (form[:-1] * 31337 + form[1:] * 7919 + 17) % SLOTS
+    out[2, 2:] = (form[:-2] * 92821 + form[1:-1] * 31337 + form[2:] * 7919 + 29) % SLOTS
+    out[3, 2:] = (shape[:-2] * 92821 + shape[1:-1] * 31337 + shape[2:] * 7919 + 41) % SLOTS
+    out[4, 3:] = (shape[:-3] * 68917 + shape[1:-2] * 92821 + shape[2:-1] * 31337 + shape[3:] * 7919 + 43) % SLOTS
+    words = np.cumsum([0, *(m.group()[0].isalpha() for m in found)])  # shapes say something only where not all are words
+    out[3, 2:][words[3:] - words[:-3] == 3] = _NONE
+    out[4, 3:][words[4:] - words[:-4] == 4] = _NONE
+    out[5, 1:][form[1:] == form[:-1]] = _REPEATED
+    out[6, :: WINDOW] = _slot("length %d" % min(10, n.bit_length()))
+    out[7, 0] = _TITLE
+    return found, out
+
+
+def window_scores(f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The summed weights of the features that lie whole within each window of a text; one window if it is short.
+
+    f: slots by kind and token, of one text or of many of the same length.
+    """
+    each = w[f]
+    n = f.shape[-1]
+    total = np.cumsum(each.sum(-2, dtype=np.float64), -1)
+    if n <= WINDOW:
+        return total[..., -1:]
+    score = total[..., WINDOW - 1 :].copy()
+    score[..., 1:] -= total[..., :-WINDOW]
+    for kind, reach in enumerate(_REACH):
+        for k in range(reach - 1):  # these end within the window, but begin before it
+            score[..., 1:] -= each[..., kind, 1 + k : n - WINDOW + 1 + k]
+    return score
+
+
+def _cut_out(f: np.ndarray, at: int) -> np.ndarray:
+    """The slots of the window at a place."""
+    g = f[:, at : at + WINDOW].copy()
+    if at:
+        for kind, reach in enumerate(_REACH):
+            g[kind, : reach - 1] = _NONE
+    return g[g != _NONE]
 
 
-def fit(rows: DataFrame, most: int = SAMPLE_SEGMENTS, rounds: int = 100, l2: float = 1e-4) -> tuple[np.ndarray, float] | None:
-    """(weights, threshold) of an L2-regularised logistic regression on at most `most` rows of each label.
+def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """source, h, slots, ones, zeros for the pieces of about `sample_docs` documents chosen by a hash of their id.
 
-    The bound keeps what reaches the driver constant. `EXAMPLES` are always among the positives.
-    The threshold lies below the lowest score of a positive (`threshold_under`). None where the sample has not both labels.
+    h: a hash to choose by; slots: the features of a piece, row by row; ones and zeros: places of windows that hold what
+    the weak labels know, and of such as hold none of it. docs: doc_id, source, flat. The corpus is read once for it.
     """
-    rows = rows.select("label", "at", "raw", F.xxhash64("doc_id", "raw").alias("h"))
-    got = [rows.where(F.col("label") == y).orderBy("h").limit(most).toPandas() for y in (True, False)]
-    if not len(got[0]) or not len(got[1]):
-        return None
-    positive = [(r.raw, r.at == 0) for r in got[0].itertuples()] + [(x, first) for x in EXAMPLES for first in (True, False)]
-    y = np.r_[np.ones(len(positive)), np.zeros(len(got[1]))]
-    cache = _Slots()
-    each = [np.concatenate([*slots_of(t, cache, first), [_length_slot(len(t))]]) for t, first in [*positive, *((r.raw, r.at == 0) for r in got[1].itertuples())]]
-    row, slot = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, b = np.zeros(SLOTS), 0.0
-    m, v, mb, vb = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
-    for k in range(1, rounds + 1):  # Adam over the whole sample
-        z = np.bincount(row, w[slot], len(y)) + b
+    n = max(1, docs.count() // sample_docs)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).where("flat is not null")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _Slots()
+        for part in parts:
+            out = []
+            for source, text in zip(part["source"], part["flat"]):
+                found, f = features(text, cache)
+                spans = [m.span() for m in WEAK.finditer(text)] if found else []
+                for low in range(0, len(found), PIECE):
+                    at = max(0, low - WINDOW + 1)
+                    high = min(len(found), low + PIECE)
+                    ones, zeros, near = _labelled(found, spans, at, high)
+                    if near and not ones:
+                        continue  # what there is stands whole in the piece before or after
+                    h = zlib.crc32(text[found[at].start() : found[high - 1].end()].encode())
+                    if not ones:
+                        zeros = [h % max(1, high - at - WINDOW + 1)]
+                    piece = f[:, at:high].copy()
+                    if at:
+                        for kind, reach in enumerate(_REACH):
+                            piece[kind, : reach - 1] = _NONE
+                    out.append((source, h, piece.astype(np.int32).tobytes(), ones, zeros))
+            yield pd.DataFrame(out, columns=["source", "h", "slots", "ones", "zeros"])
+
+    return cut(sample.select("source", "flat").mapInPandas(run, "source string, h long, slots binary, ones array<int>, zeros array<int>"))
+
+
+def _labelled(found: list, spans: list, at: int, high: int) -> tuple[list[int], list[int], bool]:
+    """Places of the windows of a piece that hold a labelled span whole, or lie mostly in one, and of those that touch none; is any near?"""
+    near = [(a, b) for a, b in spans if a < found[high - 1].end() and b > found[at].start()]
+    ones, zeros = [], []
+    if near:
+        for k in range(at, max(at, high - WINDOW) + 1, 2):
+            low, top = found[k].start(), found[min(high, k + WINDOW) - 1].end()
+            touched = [(a, b) for a, b in near if a < top and b > low]
+            if any(a >= low and b <= top or min(b, top) - max(a, low) >= 0.8 * (top - low) for a, b in touched):
+                ones.append(k - at)
+            elif not touched:
+                zeros.append(k - at)
+    return ones, zeros, bool(near)
+
+
+def _train(windows: list[np.ndarray], y: np.ndarray, rounds: int, l2: float) -> np.ndarray:
+    """Weights (the last is of no feature, the one before of the constant) by Adam over all windows; both labels weigh the same."""
+    row, col = np.repeat(np.arange(len(windows)), [len(x) for x in windows]), np.concatenate(windows)
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
+    w, m, v = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+    for k in range(1, rounds + 1):
+        z = np.bincount(row, w[col], len(y)) + w[-1]
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(slot, g[row], SLOTS) + l2 * w, g.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        b -= 0.1 * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.999**k)) + 1e-8)
-    w = w.astype(np.float32)
-    return w, threshold_under(min(text_score(t, w, cache, first) for t, first in positive))
-
+        slope = np.bincount(col, g[row], SLOTS + 1) + l2 * w
+        slope[-1] = g.sum()
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return w
 
-def threshold_under(lowest: float) -> float:
-    """A threshold under the lowest score of a known positive, whatever its sign."""
-    return lowest - (1 - MARGIN) * abs(lowest)
 
+class Model(NamedTuple):
+    """Weights by slot (the last, of no feature, is 0), the constant, and the scores from which a text is likely and sure to be residue."""
 
-def text_score(text: str, w: np.ndarray, cache: _Slots, first: bool = True) -> float:
-    """The best stretch of a text: the largest sum of weights of neighbouring words, with the weight of its length.
+    weights: np.ndarray
+    constant: float
+    likely: float
+    sure: float
 
-    So a placeholder in a long text is not outweighed by what stands around it.
-    """
-    uni, bi = slots_of(text, cache, first)
-    if not len(uni):
-        return 0.0
-    total = np.cumsum(w[uni] + w[bi], dtype=np.float64)
-    return float((total - np.minimum(0.0, np.minimum.accumulate(np.r_[0.0, total[:-1]]))).max()) + float(w[_length_slot(len(text))])
 
+def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int = 2, l2: float = 3e-6) -> Model | None:
+    """A model from at most `most` training rows of each label, `HELD` of the sources kept for its calibration.
 
-def best_score(text: Column, model: tuple[np.ndarray, float]) -> Column:
-    """The score of each text; the weights (256 kB) go with the function."""
-    w, _ = model
+    The bound keeps what reaches the driver constant. After each training the windows of unlabelled pieces that score
+    highest are added as negatives, `mined` times. sure: over the scores of the kept pieces without a label, but for `STRAY` of them, by `MARGIN`;
+    likely: under the lowest kept label but for one in a hundred, within `BAND`. None where the sample has not both labels.
+    """
+    part = [rows.where(c).orderBy("h").limit(most).toPandas() for c in ("size(ones) > 0", "size(ones) = 0")]
+    frame = pd.concat(part, ignore_index=True)
+    if not len(part[0]) or not len(part[1]):
+        return None
+    wide = PIECE + WINDOW - 1
+    slots = np.full((len(frame), len(_REACH), wide), _NONE, dtype=np.int32)
+    for k, b in enumerate(frame["slots"]):
+        f = np.frombuffer(b, dtype=np.int32).reshape(len(_REACH), -1)
+        slots[k, :, : f.shape[1]] = f
+    label = frame["ones"].map(len).to_numpy() > 0
+    kept = np.array([zlib.crc32(x.encode()) % HELD == 0 for x in frame["source"]])
+    if min(np.bincount(2 * kept + label, minlength=4)) == 0:  # too few sources to keep some back
+        kept[:] = False
+    seen = np.zeros(SLOTS + 1, dtype=np.int64)
+    for f in slots[~kept]:
+        seen[np.unique(f)] += 1
+    known = seen >= min(SEEN, 1 + len(frame) // 100)
+    known[_NONE] = False
+
+    def window(k: int, at: int) -> np.ndarray:
+        x = _cut_out(slots[k], at)
+        return x[known[x]]
+
+    drawn = label | (np.arange(len(frame)) % DRAWN == 0)
+    marked = [(window(k, at), y) for k in np.flatnonzero(~kept & drawn) for y, places in ((1.0, frame["ones"][k]), (0.0, frame["zeros"][k])) for at in places]
+    windows, y = [x for x, _ in marked], np.array([v for _, v in marked])
+    plain = np.flatnonzero(~kept & ~label)
+
+    def scores(which: np.ndarray) -> np.ndarray:
+        return np.concatenate([window_scores(slots[which[a : a + 4000]], weights) for a in range(0, len(which), 4000)]) + constant
+
+    for k in range(mined + 1):
+        w = _train(windows, y, rounds, l2)
+        constant, weights = float(w[-1]), np.where(known, w, 0.0).astype(np.float32)
+        if k < mined:
+            every = scores(plain)
+            top = np.argsort(-every.max(1), kind="stable")[int(STRAY * len(plain)) : len(plain) // 10 + 1]
+            windows += [window(plain[i], int(every[i].argmax())) for i in top]
+            y = np.r_[y, np.zeros(len(top))]
+    judged = kept if kept.any() else ~kept
+    low, high = (scores(np.flatnonzero(judged & m)).max(1) for m in (label, ~label))
+    return Model(weights, constant, float(np.clip(np.quantile(low, 0.01) - MARGIN, *BAND)), float(max(0.0, np.quantile(high, 1 - STRAY)) + MARGIN))
+
+
+def text_score(text: str, model: Model, cache: _Slots) -> float:
+    """The score of the best window of a flattened text, so that a placeholder in a long text is not outweighed."""
+    _, f = features(text, cache)
+    return float(window_scores(f, model.weights).max()) + model.constant if f.shape[1] else -np.inf
+
+
+def best_score(flat: Column, model: Model) -> Column:
+    """The score of each flattened text; the weights (1 MB) go with the function."""
 
     def score(s: pd.Series) -> pd.Series:
-        cache = _SHARED
-        return pd.Series([text_score(x, w, cache) if x else 0.0 for x in s], index=s.index, dtype="float64")
+        return pd.Series([text_score(x, model, _SHARED) if x else -np.inf for x in s], index=s.index, dtype="float64")
 
-    return F.pandas_udf(score, "double")(text)
+    return F.pandas_udf(score, "double")(flat)
 
 
 _SHARED = _Slots()
 
 
 def usable(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    """doc_id, source, flat (null for null, empty and blank texts)."""
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.when(F.trim("text") != "", flattened(F.col("text"))).alias("flat"))
+
+
+def _judged(texts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, found: by the classifier alone where it is sure, by the exact check as well where it is not."""
+    scored = texts.where("flat is not null").select("doc_id", "source", "flat", best_score(F.col("flat"), model).alias("score"))
+    # the check takes its text through the classifier's verdict: as two filters, the optimiser would turn them round
+    unsure = scored.select("doc_id", "source", "flat", "score", F.when((F.col("score") >= model.likely) & (F.col("score") < model.sure), F.col("flat")).alias("candidate"))
+    return unsure.select("doc_id", "source", "flat", "score", ((F.col("score") >= model.sure) | F.coalesce(holds_residue(F.col("candidate")), F.lit(False))).alias("found"))
 
 
 def residue_documents(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id of every document whose text holds residue, distinct.
 
     docs: doc_id, text, source; other columns are ignored. Null, empty and blank texts are none, nor are short ones as
-    such; repeated rows give one result. A text counts with its best stretch of words, so length hides nothing. Where
-    the sample has no weak positive at all, the exact check is made on every text.
+    such; repeated rows give one result. A text counts with its best window, so length hides nothing. Where the sample
+    has no weak label at all, there is no classifier and the exact check is made on every text.
     """
     texts = usable(docs)
     model = fit(training_rows(texts, sample_docs))
-    # the check takes its text through the classifier's verdict: as two filters, the optimiser would turn them round
-    passed = F.col("text") if model is None else F.when(best_score(F.col("text"), model) >= model[1], F.col("text"))
-    return texts.select("doc_id", passed.alias("candidate")).where(is_residue(F.col("candidate"))).select("doc_id").distinct()
+    if model is None:
+        return texts.where(holds_residue(F.col("flat"))).select("doc_id").distinct()
+    return _judged(texts, model).where("found").select("doc_id").distinct()
 
 
 def validation(docs: DataFrame, share: int = 5) -> DataFrame:
-    """The classifier on documents of sources held out of its training: documents, positives, candidates, right."""
+    """The classifier on documents of sources held out of its training and calibration.
+
+    documents, positives (by the weak labels), candidates (likely or sure), right (of these, positive), alone (of a score
+    over 0), alone_right, sure, sure_right, found (likely and checked, or sure), found_right.
+    """
     texts = usable(docs)
     unseen = F.pmod(F.xxhash64("source"), F.lit(share)) == 0
     model = fit(training_rows(texts.where(~unseen)))
-    hit = F.lit(True) if model is None else best_score(F.col("text"), model) >= model[1]
-    judged = texts.where(unseen).select(hit.alias("hit"), is_residue(F.col("text")).alias("label"))
-    return judged.agg(F.count(F.lit(1)).alias("documents"), F.count_if("label").alias("positives"), F.count_if("hit").alias("candidates"), F.count_if(F.col("hit") & F.col("label")).alias("right"))
+    if model is None:
+        model = Model(np.zeros(SLOTS + 1, dtype=np.float32), 0.0, -1.0, 1.0)
+    label, z = F.coalesce(holds_residue(F.col("flat")), F.lit(False)), F.col("score")
+    judged = _judged(texts.where(unseen), model).select("score", "found", label.alias("label"))
+    counts = {"candidates": z >= model.likely, "alone": z >= 0, "sure": z >= model.sure, "found": F.col("found")}
+    each = [c for n, hit in counts.items() for c in (F.count_if(hit).alias(n), F.count_if(hit & F.col("label")).alias("right" if n == "candidates" else f"{n}_right"))]
+    return judged.agg(F.count(F.lit(1)).alias("documents"), F.count_if("label").alias("positives"), *each)

@@ -327,9 +327,9 @@ def test_chain_overrules_weak_label(chain, spark):
     """A stop after a short word before a small letter ends nothing, though the rules do not know the word; and what the corpus abbreviates is learned."""
     text = "Rex venit. Puer vidit tab. sextam. Luna est."
     assert _runs([text])[0][2] == [1, 1, 1, 1] and sentences.unit_ends([text], False, chain)[0] == [10, 34, 44]
-    units = spark.createDataFrame([("d", k, f"He met Gen. {n} and Sen. {m} in May. It was in May.") for k, (n, m) in enumerate(zip(["Grant", "Wu", "Hill"] * 3, ["Moor", "Ito", "Ruiz"] * 3))] + [("e", 0, None)], "doc_id string, rec_pos int, body string")
+    units = spark.createDataFrame([("d", k, f"He met Gen. {n} and Sen. {m} in May, and he likes it. It was May then, and the day came to him.") for k, (n, m) in enumerate(zip(["Grant", "Wu", "Hill"] * 3, ["Moor", "Ito", "Ruiz"] * 3))] + [("e", 0, None)], "doc_id string, rec_pos int, body string")
     known = sentences.learned_abbreviations(units)
-    assert {"gen", "sen"} <= known and not known & {"it", "in", "and", "he"}
+    assert {"gen", "sen"} <= known and not known & {"it", "in", "and", "he", "him"}
     text = "Here is Gen. Grant. He met Sen. Wu."
     learned = chain._replace(known=known)
     assert sentences.unit_ends([text], False, learned)[0] == [19, 35] != sentences.unit_ends([text], False, chain)[0]

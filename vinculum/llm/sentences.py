@@ -523,13 +523,21 @@ def _sampled(tokens: bool, known: frozenset):  # noqa: ANN202
 
 
 def learned_abbreviations(units: DataFrame) -> frozenset:
-    """Short words of the corpus (casefolded) that nearly always stand before a full stop: doc_id, rec_pos, body.
+    """Short words of the corpus (casefolded) that nearly always stand before a full stop which nearly never ends a sentence.
 
-    Counted over all texts; the most frequent `MOST` of them reach the driver.
+    units: doc_id, rec_pos, body. A stop seems to end one where a word follows with a capital that the corpus has with a
+    small letter elsewhere, or nothing follows. Counted over all texts; the most frequent `MOST` reach the driver.
     """
-    words = units.select(F.explode(F.expr(rf"regexp_extract_all(body, '(?<![\\p{{L}}\\p{{N}}.])(\\p{{L}}{{2,{SHORT}}}[.]?)(?![\\p{{L}}\\p{{N}}])', 1)")).alias("w"))
-    counts = words.groupBy(F.lower(F.rtrim(F.col("w"), F.lit("."))).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w").endswith(".")).alias("stops"))
-    often = counts.where((F.col("n") >= OFTEN) & (F.col("stops") >= ALWAYS * F.col("n"))).orderBy(F.desc("n"), "word").limit(MOST)
+    bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    words = F.split(F.trim("body"), r"\s+")
+    pairs = units.select(F.explode(F.zip_with(words, F.expr(r"slice(split(trim(body), '\\s+'), 2, 2147483646)"), lambda w, n: F.struct(w.alias("w"), n.alias("n")))).alias("p")).select("p.w", "p.n")
+    short = pairs.where(F.col("w").rlike(rf"^[^\p{{L}}\p{{N}}]?\p{{L}}{{2,{SHORT}}}[^\p{{L}}\p{{N}}]*$"))
+    stop = F.col("w").endswith(".")
+    capital = F.col("n").rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+    counts = short.groupBy(bare("w").alias("word"), stop.alias("stop"), F.when(stop & capital, bare("n")).alias("next"), (stop & F.col("n").isNull()).alias("last")).agg(F.count(F.lit(1)).alias("n"))
+    small = pairs.where(F.col("w").rlike(r"^[^\p{L}\p{N}]*\p{Ll}")).select(bare("w").alias("next"), F.lit(True).alias("small")).distinct()
+    told = counts.join(small, "next", "left").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n"))).alias("stops"), F.sum(F.when(F.col("small") | F.col("last"), F.col("n")).otherwise(0)).alias("ends"))
+    often = told.where((F.col("n") >= OFTEN) & (F.col("stops") >= ALWAYS * F.col("n")) & (F.col("ends") <= (1 - ALWAYS) * F.col("stops"))).orderBy(F.desc("n"), "word").limit(MOST)
     return frozenset(r.word for r in often.collect())
 
 

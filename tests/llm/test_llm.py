@@ -235,6 +235,11 @@ def test_window_scores():
     assert len(got) == f.shape[1] - residue.WINDOW + 1
     assert got == pytest.approx([w[residue._cut_out(f, at)].sum() for at in range(len(got))])
     assert residue.window_scores(f[None], w)[0] == pytest.approx(got)
+    # many texts together score as each by itself
+    model = residue.Model(w, 0.5, 0.0, 0.0)
+    texts = ["", "a", "a b c. d e f, g h 12 i j k l {{m}} n o p q r s", "  ", "x x x", "a b c d e f g h i j"] * 5
+    alone = [residue.window_scores(residue.features(t, residue._Slots())[1], w).max() + 0.5 if t.strip() else -np.inf for t in texts]
+    assert residue.text_scores(texts, model, residue._Slots()) == pytest.approx(alone)
 
 
 def marked(text):

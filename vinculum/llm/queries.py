@@ -14,8 +14,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return passages.unionByName(table(spark, d, "tokens").select(F.lit("tokens").alias("rec_table"), F.col("doc_id").alias("rec_doc"), F.col("id").alias("rec_id"), "text"))
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+def _documents(spark: SparkSession, d: str, spread_small: bool = True) -> DataFrame:
+    """The documents; spread_small: over all cores where the table has fewer splits than there are cores."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return spread(docs) if spread_small else docs
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,8 +35,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.find_ends(texts, "sources", False).unionByName(sentences.find_ends(rows, "sentences", True))
 
 
-def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_documents(_documents(spark, d))
+def p7_ids(spark: SparkSession, d: str, spread_small: bool = True) -> DataFrame:
+    return bpe.encode_documents(_documents(spark, d, spread_small))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -59,8 +59,8 @@ INVISIBLE = r"[­​-‍⁠﻿]"
 SLOTS = 1 << 18
 WINDOW = 10  # tokens that are judged together
 PIECE = 40  # tokens of a training row, with the WINDOW - 1 before it
-SAMPLE_DOCS = 20_000
-SAMPLE_PIECES = 60_000
+SAMPLE_DOCS = 10_000
+SAMPLE_PIECES = 40_000
 SEEN = 3  # training rows that a feature must stand in
 HELD = 5  # every so many sources are kept for calibration
 STRAY = 5e-4  # of unlabelled pieces so many may hold residue that the weak labels do not know: the highest scores are no negatives
@@ -93,50 +93,68 @@ def is_residue(text: Column) -> Column:
 
 
 class _Slots(dict):
-    """Token to the slots of its form and of its shape; digits count by their number."""
+    """Token to one number of the slots of its form and of its shape and whether it is a word; digits count by their number."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         if len(self) > CACHE:
             self.clear()
         form = "#%d" % len(token) if token.isdigit() else token.lower()
         shape = token if not token[0].isalpha() else "A" if token.isupper() else "a" if token.islower() else "Aa" if token[0].isupper() else "x"
-        self[token] = slots = (_slot(form), _slot("shape " + ("#" if token.isdigit() else shape)))
-        return slots
+        self[token] = packed = _slot(form) | _slot("shape " + ("#" if token.isdigit() else shape)) << 20 | token[0].isalpha() << 40
+        return packed
 
 
 def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % SLOTS
 
 
-_FIND = re.compile(TOKENS).finditer
+_FIND, _FIND_ALL = re.compile(TOKENS).finditer, re.compile(TOKENS).findall
 _NONE = SLOTS  # a feature that is not there; its weight is 0
 _REACH = np.array([1, 2, 3, 3, 4, 2, 1, 1])  # tokens that each feature spans
-_TITLE, _REPEATED = _slot("title"), _slot("repeated")
+_TITLE, _REPEATED, _LENGTHS = _slot("title"), _slot("repeated"), np.array([_slot(f"length {k}") for k in range(11)])
 
 
-def features(text: str, cache: _Slots) -> tuple[list, np.ndarray]:
-    """(token matches, slots): for each token the slots of the features that end at it, one row a kind of feature.
+def packed(tokens: list[str], cache: _Slots) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
-    Kinds: form, two and three forms, three and four shapes, repetition, length of the text, title (its first token).
+
+def slots_of(tokens: np.ndarray, place: np.ndarray, length: np.ndarray | int, title: np.ndarray | bool = True) -> np.ndarray:
+    """For each token the slots of the features that end at it, by kind: [..., kind, token].
+
+    Kinds: form, two and three forms, three and four shapes (not all of words), repetition, length of the text, title (its
+    first token). tokens: packed, -1 after a text's end; place: of each in its text or piece; length: of the text in tokens;
+    title: does the text begin at place 0?
     """
-    found = list(_FIND(text))
-    n = len(found)
-    out = np.full((len(_REACH), n), _NONE, dtype=np.int64)
-    if not n:
-        return found, out
-    form, shape = np.array([cache[m.group()] for m in found], dtype=np.int64).T
-    out[0] = form
-    out[1, 1:] = (form[:-1] * 31337 + form[1:] * 7919 + 17) % SLOTS
-    out[2, 2:] = (form[:-2] * 92821 + form[1:-1] * 31337 + form[2:] * 7919 + 29) % SLOTS
-    out[3, 2:] = (shape[:-2] * 92821 + shape[1:-1] * 31337 + shape[2:] * 7919 + 41) % SLOTS
-    out[4, 3:] = (shape[:-3] * 68917 + shape[1:-2] * 92821 + shape[2:-1] * 31337 + shape[3:] * 7919 + 43) % SLOTS
-    words = np.cumsum([0, *(m.group()[0].isalpha() for m in found)])  # shapes say something only where not all are words
-    out[3, 2:][words[3:] - words[:-3] == 3] = _NONE
-    out[4, 3:][words[4:] - words[:-4] == 4] = _NONE
-    out[5, 1:][form[1:] == form[:-1]] = _REPEATED
-    out[6, :: WINDOW] = _slot("length %d" % min(10, n.bit_length()))
-    out[7, 0] = _TITLE
-    return found, out
+    ok = tokens >= 0
+    form, shape, word = tokens & (1 << 20) - 1, tokens >> 20 & (1 << 20) - 1, np.where(ok, tokens >> 40, 0)
+    n = tokens.shape[-1]
+    out = np.full((*tokens.shape[:-1], len(_REACH), n), _NONE, dtype=np.int32)
+    out[..., 0, :] = np.where(ok, form, _NONE)
+
+    def join(kind: int, x: np.ndarray, of: int, salt: int, mixed: bool) -> None:
+        if n < of:
+            return
+        total, words, there = salt, 0, ok[..., of - 1 :] & (place[..., of - 1 :] >= of - 1)
+        for k, by in enumerate((7919, 31337, 92821, 68917)[:of]):
+            total = total + x[..., of - 1 - k : n - k] * by
+            words = words + word[..., of - 1 - k : n - k] if mixed else words
+        out[..., kind, of - 1 :] = np.where(there & (words < of) if mixed else there, total % SLOTS, _NONE)
+
+    join(1, form, 2, 17, False)
+    join(2, form, 3, 29, False)
+    join(3, shape, 3, 41, True)
+    join(4, shape, 4, 43, True)
+    out[..., 5, 1:] = np.where(ok[..., 1:] & (place[..., 1:] > 0) & (form[..., 1:] == form[..., :-1]), _REPEATED, _NONE)
+    size = _LENGTHS[np.minimum(len(_LENGTHS) - 1, np.ceil(np.log2(1 + np.asarray(length))).astype(np.int64))]
+    out[..., 6, :] = np.where(ok & (place % WINDOW == 0), size, _NONE)
+    out[..., 7, :] = np.where(ok & (place == 0) & title, _TITLE, _NONE)
+    return out
+
+
+def features(text: str, cache: _Slots) -> tuple[list[str], np.ndarray]:
+    """(tokens, slots [kind, token]) of a whole text."""
+    found = _FIND_ALL(text)
+    return found, slots_of(packed(found, cache), np.arange(len(found)), len(found))
 
 
 def window_scores(f: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -167,21 +185,23 @@ def _cut_out(f: np.ndarray, at: int) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """source, h, slots, ones, zeros for the pieces of about `sample_docs` documents chosen by a hash of their id.
+    """source, h, tokens, length, title, ones, zeros for the pieces of about `sample_docs` documents chosen by a hash of their id.
 
-    h: a hash to choose by; slots: the features of a piece, row by row; ones and zeros: places of windows that hold what
-    the weak labels know, and of such as hold none of it. docs: doc_id, source, flat. The corpus is read once for it.
+    h: a hash to choose by; tokens: of the piece, packed; length of its text; title: does it begin it? ones and zeros: places
+    of windows that hold what the weak labels know, and of such as hold none of it. docs: doc_id, source, flat. The corpus
+    is read once for it.
     """
     n = max(1, docs.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).where("flat is not null")
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).where("flat is not null").select("source", "flat", holds_residue(F.col("flat")).alias("any"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Slots()
         for part in parts:
             out = []
-            for source, text in zip(part["source"], part["flat"]):
-                found, f = features(text, cache)
-                spans = [m.span() for m in WEAK.finditer(text)] if found else []
+            for source, text, some in zip(part["source"], part["flat"], part["any"]):
+                found = list(_FIND(text))
+                tokens = packed([m.group() for m in found], cache)
+                spans = [m.span() for m in WEAK.finditer(text)] if some else []
                 for low in range(0, len(found), PIECE):
                     at = max(0, low - WINDOW + 1)
                     high = min(len(found), low + PIECE)
@@ -191,14 +211,10 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                     h = zlib.crc32(text[found[at].start() : found[high - 1].end()].encode())
                     if not ones:
                         zeros = [h % max(1, high - at - WINDOW + 1)]
-                    piece = f[:, at:high].copy()
-                    if at:
-                        for kind, reach in enumerate(_REACH):
-                            piece[kind, : reach - 1] = _NONE
-                    out.append((source, h, piece.astype(np.int32).tobytes(), ones, zeros))
-            yield pd.DataFrame(out, columns=["source", "h", "slots", "ones", "zeros"])
+                    out.append((source, h, tokens[at:high].tobytes(), len(found), at == 0, ones, zeros))
+            yield pd.DataFrame(out, columns=["source", "h", "tokens", "length", "title", "ones", "zeros"])
 
-    return cut(sample.select("source", "flat").mapInPandas(run, "source string, h long, slots binary, ones array<int>, zeros array<int>"))
+    return cut(sample.mapInPandas(run, "source string, h long, tokens binary, length int, title boolean, ones array<int>, zeros array<int>"))
 
 
 def _labelled(found: list, spans: list, at: int, high: int) -> tuple[list[int], list[int], bool]:
@@ -252,31 +268,35 @@ def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int
     if not len(part[0]) or not len(part[1]):
         return None
     wide = PIECE + WINDOW - 1
-    slots = np.full((len(frame), len(_REACH), wide), _NONE, dtype=np.int32)
-    for k, b in enumerate(frame["slots"]):
-        f = np.frombuffer(b, dtype=np.int32).reshape(len(_REACH), -1)
-        slots[k, :, : f.shape[1]] = f
+    tokens = np.full((len(frame), wide), -1, dtype=np.int64)
+    for k, b in enumerate(frame["tokens"]):
+        f = np.frombuffer(b, dtype=np.int64)
+        tokens[k, : len(f)] = f
+    length, title = frame["length"].to_numpy()[:, None], frame["title"].to_numpy()[:, None]
+    some = lambda which: slots_of(tokens[which], np.broadcast_to(np.arange(wide), (len(which), wide)), length[which], title[which])
+    parts = lambda which: (which[a : a + 2000] for a in range(0, len(which), 2000))
     label = frame["ones"].map(len).to_numpy() > 0
     kept = np.array([zlib.crc32(x.encode()) % HELD == 0 for x in frame["source"]])
     if min(np.bincount(2 * kept + label, minlength=4)) == 0:  # too few sources to keep some back
         kept[:] = False
     seen = np.zeros(SLOTS + 1, dtype=np.int64)
-    for f in slots[~kept]:
-        seen[np.unique(f)] += 1
+    for which in parts(np.flatnonzero(~kept)):
+        for f in some(which):
+            seen[np.unique(f)] += 1
     known = seen >= min(SEEN, 1 + len(frame) // 100)
     known[_NONE] = False
 
-    def window(k: int, at: int) -> np.ndarray:
-        x = _cut_out(slots[k], at)
+    def window(f: np.ndarray, at: int) -> np.ndarray:
+        x = _cut_out(f, at)
         return x[known[x]]
 
     drawn = label | (np.arange(len(frame)) % DRAWN == 0)
-    marked = [(window(k, at), y) for k in np.flatnonzero(~kept & drawn) for y, places in ((1.0, frame["ones"][k]), (0.0, frame["zeros"][k])) for at in places]
+    marked = [(window(f, at), y) for which in parts(np.flatnonzero(~kept & drawn)) for k, f in zip(which, some(which)) for y, places in ((1.0, frame["ones"][k]), (0.0, frame["zeros"][k])) for at in places]
     windows, y = [x for x, _ in marked], np.array([v for _, v in marked])
     plain = np.flatnonzero(~kept & ~label)
 
     def scores(which: np.ndarray) -> np.ndarray:
-        return np.concatenate([window_scores(slots[which[a : a + 4000]], weights) for a in range(0, len(which), 4000)]) + constant
+        return np.concatenate([window_scores(some(w), weights) for w in parts(which)]) + constant
 
     for k in range(mined + 1):
         w = _train(windows, y, rounds, l2)
@@ -284,24 +304,50 @@ def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int
         if k < mined:
             every = scores(plain)
             top = np.argsort(-every.max(1), kind="stable")[int(STRAY * len(plain)) : len(plain) // 10 + 1]
-            windows += [window(plain[i], int(every[i].argmax())) for i in top]
+            windows += [window(f, int(every[i].argmax())) for which in parts(top) for i, f in zip(which, some(plain[which]))]
             y = np.r_[y, np.zeros(len(top))]
     judged = kept if kept.any() else ~kept
     low, high = (scores(np.flatnonzero(judged & m)).max(1) for m in (label, ~label))
     return Model(weights, constant, float(np.clip(np.quantile(low, 0.01) - MARGIN, *BAND)), float(max(0.0, np.quantile(high, 1 - STRAY)) + MARGIN))
 
 
+def text_scores(texts: list[str], model: Model, cache: _Slots) -> np.ndarray:
+    """The score of the best window of each flattened text, so that a placeholder in a long text is not outweighed; -inf for one without tokens."""
+    score = np.full(len(texts), -np.inf)
+    at = 0
+    while at < len(texts):  # some texts together: as tokens in a row, each with an end after it
+        run, sizes = [], []
+        while at + len(sizes) < len(texts) and (not sizes or sum(sizes) < TOGETHER):
+            tokens = packed(_FIND_ALL(texts[at + len(sizes)]), cache)
+            run += [tokens, _END]
+            sizes.append(len(tokens))
+        n = np.array(sizes)
+        first = np.r_[0, np.cumsum(n + WINDOW)[:-1]]
+        each = np.repeat(np.arange(len(n)), n + WINDOW)
+        whole = np.concatenate(run)
+        sums = window_scores(slots_of(whole, np.arange(len(whole)) - first[each], n[each]), model.weights)
+        there = np.flatnonzero(n)
+        if len(there):
+            low = first[there]
+            borders = np.stack([low, low + np.maximum(1, n[there] - WINDOW + 1)], 1).ravel()
+            score[at + there] = np.maximum.reduceat(np.r_[sums, -np.inf], borders)[::2] + model.constant
+        at += len(sizes)
+    return score
+
+
+TOGETHER = 20_000
+_END = np.full(WINDOW, -1, dtype=np.int64)
+
+
 def text_score(text: str, model: Model, cache: _Slots) -> float:
-    """The score of the best window of a flattened text, so that a placeholder in a long text is not outweighed."""
-    _, f = features(text, cache)
-    return float(window_scores(f, model.weights).max()) + model.constant if f.shape[1] else -np.inf
+    return float(text_scores([text], model, cache)[0])
 
 
 def best_score(flat: Column, model: Model) -> Column:
     """The score of each flattened text; the weights (1 MB) go with the function."""
 
     def score(s: pd.Series) -> pd.Series:
-        return pd.Series([text_score(x, model, _SHARED) if x else -np.inf for x in s], index=s.index, dtype="float64")
+        return pd.Series(text_scores([x or "" for x in s], model, _SHARED), index=s.index, dtype="float64")
 
     return F.pandas_udf(score, "double")(flat)
 

@@ -18,6 +18,7 @@ from vinculum.operators import metric as M
 from vinculum.operators import render as R
 from vinculum.operators import segment as S
 from vinculum.sources import blocks, sinks
+from vinculum.sources.gold import gold_rows
 from vinculum.streaming.blocks import stream_passages
 
 P = "punctuation"
@@ -95,7 +96,7 @@ def test_units_random(spark):
 def test_rounds_equal_one_task(spark):
     """Documents too large for one task are resolved by joins, with the same result where there are no loops."""
     r = random.Random(4)
-    toks = [t for k in range(6) for t in random_tokens(r, f"d{k}", 14, True)] + passage()
+    toks = [t for k in range(3) for t in random_tokens(r, f"d{k}", 14, True)] + passage()
     cols = ["doc_id", "id", "unit_id", "is_anchor", "parent", "depth", "problem"]
     assert rows(resolved(spark, toks, whole_doc_rows=1).select(cols)) == rows(resolved(spark, toks).select(cols))
 
@@ -103,13 +104,36 @@ def test_rounds_equal_one_task(spark):
 def test_rounds_equal_one_task_on_loops(spark):
     """Both ways give the same on loops: the value a loop reaches, the token that stays without one, where a cycle is told."""
     r = random.Random(12)
-    toks = [tok("l", 0, "a", r1="b"), tok("l", 1, "b", r1="a", r2="c"), tok("l", 2, "c", unit="c", r1="root")] + [t for k in range(40) for t in random_tokens(r, f"d{k}", 14, False)]
+    toks = [tok("l", 0, "a", r1="b"), tok("l", 1, "b", r1="a", r2="c"), tok("l", 2, "c", unit="c", r1="root")] + [t for k in range(12) for t in random_tokens(r, f"d{k}", 9, False)]
     cols = ["doc_id", "id", "unit_id", "is_anchor", "parent", "depth", "problem"]
     large = resolved(spark, toks, whole_doc_rows=1).select(cols).cache()
     assert [x.unit_id for x in large.where("doc_id = 'l'").orderBy("id").collect()] == ["c", "c", "c"]
     assert rows(large) == rows(resolved(spark, toks).select(cols))
 
 
+def test_rounds_on_long_chains(spark):
+    """A chain of thousands takes a logarithm of joins; dead ends behind each other and fallbacks are told apart."""
+    n = 300
+    toks = [tok("c", 0, "t0", unit="t0", r1="root")] + [tok("c", k, f"t{k}", r1=f"t{k - 1}") for k in range(1, n)]
+    toks += [tok("x", 0, "dead", r1=None)] + [tok("x", k, f"d{k}", r1=f"d{k - 1}" if k > 1 else "dead") for k in range(1, 12)] + [tok("x", 90, "alive", unit="u", r1="root"), tok("x", 91, "both", r1="d11", r2="alive"), tok("x", 92, "after", r1="both")]
+    cols = ["doc_id", "id", "unit_id", "is_anchor", "parent", "depth", "problem"]
+    got = resolved(spark, toks, whole_doc_rows=1).select(cols).cache()
+    assert got.where("doc_id = 'c' and unit_id = 't0'").count() == n and {x.id: x.unit_id for x in got.where("unit_id = 'u'").collect()} == {"alive": "u", "both": "u", "after": "u"}
+    assert rows(got) == rows(resolved(spark, toks).select(cols))
+
+
+def test_documents_over_batches(spark):
+    """Documents that go on over Arrow batches are resolved as wholes, and all columns are kept."""
+    r = random.Random(21)
+    toks = [t for k in range(30) for t in random_tokens(r, f"d{k}", 9, True)]
+    want = rows(resolved(spark, toks))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert rows(resolved(spark, toks)) == want and len(want) == len(toks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_and_extra_columns(spark):
     empty = G.latest(graph(spark, []))
     assert G.resolve(empty).count() == 0 and R.surface_text(empty).count() == 0 and G.edge_triples(empty).count() == 0
@@ -285,6 +309,75 @@ def test_segment_and_analyse(spark):
     g = A.combined(A.analyse(t, A.canned({})))
     assert g.count() == t.count() and [x.id for x in g.where("doc_id = 'd'").orderBy("pos").collect()][:3] == ["t0", "t1", "t2"]
     assert S.as_source(spark, "abc").first().text == "abc"
+    told = A.analyse_sources(src, lambda p, ts, _: {"tokengraph": [{"id": i, "tokentype": "lexical", "text": x, "related1": "zz"} for i, x in ts], "verbalunits": [{"id": ts[0][0], "syntactic_type": "independent", "semantic_type": "transitive"}], "reasoning": p[:2]})
+    assert told.results.where("doc_id = 'd'").count() == 3 and told.results.where("reasoning = 'M.'").count() == 1 and told.units.where("doc_id = 'd'").count() == 3
+    assert {x.code for x in told.problems.collect()} == {"unknown_target"} and rows(told.graph.select("doc_id", "pos", "id")) == rows(t.select("doc_id", "pos", "id"))
+
+
+def test_segment_by_rule_is_distributed(spark):
+    """Running counts over units give what one call a document gives, enclitics included."""
+    r = random.Random(3)
+    words = ["Videsne", "armaque", "virum", ".", "?", "!", "Kal.", "M.", "Itaque", "silvane", "x", "?!", ""]
+    units = [(f"d{k % 3}", k // 3, f"{k}", " ".join(r.choices(words, k=r.randrange(0, 9)))) for k in range(90)]
+    src = spark.createDataFrame([*units, units[0], (None, 0, "", "x."), ("d0", None, "", "x.")], "doc_id string, unit_pos int, citation string, text string")
+    for enclitics in (False, True):
+        want = rows(S.segment_by(src, lambda u: S.rule_segments(u, enclitics)))  # noqa: B023
+        assert rows(S.segment(src, enclitics)) == want and len(want) > 100
+    assert S.segment(src.limit(0)).count() == 0
+
+
+def test_lines_by_splits(spark, tmp_path):
+    """Files read by many splits have the lines of Python's splitlines."""
+    r = random.Random(5)
+    texts = {f"f{k}.txt": "".join(r.choice(["a", "b|c", "\n", "\r\n", "\n\n", "é", "x" * 30, "\u2028"]) for _ in range(r.randrange(1, 300))) + "z" for k in range(4)} | {"empty.txt": "", "end.txt": "a\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = {}
+        for x in blocks.read_lines(spark, str(tmp_path)).orderBy("path", "line_no").collect():
+            got.setdefault(x.path.rsplit("/", 1)[1], []).append(x.line)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {n: t.splitlines() for n, t in texts.items() if t}
+
+
+def test_records_of_runs(spark, tmp_path):
+    """Calibration, choice, run summary, harvest, dumps and records."""
+    samples = spark.createDataFrame([(1.0, 30.0, None), (2.0, 50.0, None), (3.0, 9000.0, None), (4.0, 70.0, "failed")], "num_tokens double, completion_tokens double, error string")
+    record = B.calibrate(samples, str(tmp_path / "c.json"), "some/model")
+    assert abs(record["slope"] - 20) < 1e-9 and record["sample_size"] == 2 and B.calibration(str(tmp_path / "c.json"))["intercept"] == record["intercept"] and "T" in record["calibrated_at"]
+    with pytest.raises(ValueError):
+        B.calibrate(samples.limit(1), str(tmp_path / "d.json"), "m")
+    board = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "label string, rank int")
+    assert [x.label for x in L.choose(board, board, limit=2).collect()] == ["b", "c"] and L.choose(board, board.where("rank > 1")).count() == 2
+    files = spark.createDataFrame([("p", 0, "u"), ("p", 1, "v"), ("p", 2, "w"), ("q", 0, "u")], "path string, row_pos int, urn string")
+    assert rows(L.pick(files, files.where("row_pos <> 1").orderBy(F.desc("row_pos")).select("urn"), "urn", "row_pos").select("path", "urn", "picked")) == [("p", "u", 0), ("p", "w", 1), ("q", "u", 0)]
+    scored = spark.createDataFrame([("s1", 0.5, 0.5, 0.5, 0.5, None), ("s2", None, None, None, None, "ValueError: x")], "slug string, score double, field_score double, relation_score double, vu_score double, error string")
+    calls = spark.createDataFrame([(1, 0.25), (2, None), (3, 0.5)], "seq int, cost double")
+    run = L.run_summary(scored, calls, 12.34, since=1).first()
+    assert run.problems == {"s2": "ValueError: x"} and run.n == 2 and run.n_calls == 2 and run.line == "mean=0.250  min=0.000  max=0.500  fields=0.250  relations=0.250  verbal-expr=0.250  (12.3s, 2 calls, $0.5000)"
+    toks = passage()
+    g = G.latest(graph(spark, toks))
+    given = g.where("tokentype <> 'implied sum'").select("doc_id", F.lit(0).alias("sent_idx"), "pos", "id", "text", "context")
+    units = g.where("verbalunit = id").select("doc_id", F.col("pos").alias("vu_pos"), "id", F.lit("independent").alias("syntactic_type"), F.lit("transitive").alias("semantic_type"))
+    dump = R.console_dump(given, units, g).orderBy("section", "ord").collect()
+    assert dump[0].line == "Tokens:" and [x.line for x in dump if x.section in (2, 4)] == ["", "Verbal expressions:", "", "Token graph:"] and len(dump) == 5 + given.count() + units.count() + g.count()
+    slugs = spark.createDataFrame([("p", "slug", ["t"], None)], "doc_id string, slug string, tags array<string>, passage string")
+    assert sinks.harvest(given, g, units, slugs).first().slug == "slug"
+    with pytest.raises(ValueError):
+        sinks.harvest(given.limit(0), g, units, slugs)
+    with pytest.raises(ValueError):
+        sinks.harvest(given, g.limit(0), units, slugs, skip_validation=True)
+    assert sinks.harvest(given.limit(0), g, units, slugs, skip_validation=True).count() == 1
+    back, told = gold_rows(sinks.sparse_examples(g, units).withColumnRenamed("doc_id", "slug"))
+    cols = ["doc_id", "pos", "id", "text", "tokentype", "lemma", "verbalunit", "related1", "relationship1", "related2", "relationship2"]
+    assert rows(back.select(cols)) == rows(g.select(cols)) and rows(told.select("id", "syntactic_type")) == rows(units.select("id", "syntactic_type"))
+    assert gold_rows(spark.createDataFrame([("a", None), ("b", "no json"), ("c", "{}")], "slug string, answer string"))[0].count() == 0
+    r = G.resolve(g)
+    assert sinks.save_diagrams(r, G.unit_colours(r), str(tmp_path / "dia")).count() == 0 and spark.read.parquet(str(tmp_path / "dia")).first().diagram.endswith(";\n")
+    s = blocks.reconstructed(g, spark.createDataFrame([("p", 0, toks[0][3], toks[3][3]), ("p", 1, toks[3][3], toks[0][3])], "doc_id string, sent_idx int, first_id string, last_id string"))
+    assert [[t.id for t in x.tokens] for x in s.collect()] == [[t[3] for t in toks[:4]]]
 
 
 def test_retry():

@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculum.operators import budget as B
+from vinculum.operators.checks import validate
+from vinculum.operators.segment import segment
+from vinculum.runtime import cut
 from vinculum.schemas import GRAPH
 
 #: An analyser takes (passage, token ids and texts, budget) and gives rows of the graph and how the output finished.
@@ -54,14 +57,19 @@ def with_retry(analyser: Analyser, passage: str, tokens: list[tuple[str, str]],
         size = min(ceiling, math.ceil(size * growth))
 
 
-def analyse(tokens: DataFrame, analyser: Analyser, **retry: Any) -> DataFrame:
-    """Token graph rows of all sentences (doc_id, sent_idx, k and the graph's columns; k is the place in its sentence).
+_GRAPH_FIELDS = ", ".join(GRAPH.split(", ")[2:])
+_UNIT_FIELDS = "id string, syntactic_type string, semantic_type string"
+RESULT = f"doc_id string, sent_idx int, reasoning string, tokengraph array<struct<{_GRAPH_FIELDS}>>, verbalunits array<struct<{_UNIT_FIELDS}>>, missing array<string>, attempts array<int>"
+
+
+def results(tokens: DataFrame, analyser: Analyser, **retry: Any) -> DataFrame:
+    """One row a sentence with all that the analyser gave: reasoning, tokengraph, verbalunits, missing ids, budgets tried.
 
     tokens: doc_id, sent_idx, pos, id, text. The passage given to the analyser is the tokens joined by blanks. Sentences
     are independent of one another, so any document spreads over all tasks.
     """
     sentences = tokens.groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "text"))).alias("t"))
-    names = [c.split()[0] for c in GRAPH.split(", ")][2:]
+    names, unit = [c.split()[0] for c in _GRAPH_FIELDS.split(", ")], [c.split()[0] for c in _UNIT_FIELDS.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -69,10 +77,49 @@ def analyse(tokens: DataFrame, analyser: Analyser, **retry: Any) -> DataFrame:
             for doc, k, t in zip(part["doc_id"], part["sent_idx"], part["t"]):
                 given = [(x["id"], x["text"]) for x in t]
                 got = with_retry(analyser, " ".join(x or "" for _, x in given), given, **retry)
-                rows += [(doc, k, n, *[r.get(c) for c in names]) for n, r in enumerate(got["tokengraph"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "sent_idx", "k", *names])
+                listed = lambda key, fields: [{c: r.get(c) for c in fields} for r in got.get(key) or []]  # noqa: B023, E731
+                rows.append((doc, k, got.get("reasoning"), listed("tokengraph", names), listed("verbalunits", unit), got["missing"], got["attempts"]))
+            yield pd.DataFrame(rows, columns=["doc_id", "sent_idx", "reasoning", "tokengraph", "verbalunits", "missing", "attempts"])
+
+    return sentences.mapInPandas(run, RESULT)
+
+
+def analyse(tokens: DataFrame, analyser: Analyser, **retry: Any) -> DataFrame:
+    """Token graph rows of all sentences (doc_id, sent_idx, k and the graph's columns; k is the place in its sentence)."""
+    return graph_rows(results(tokens, analyser, **retry))
+
+
+def graph_rows(told: DataFrame) -> DataFrame:
+    """The graph rows of `results`: doc_id, sent_idx, k and the graph's columns."""
+    return told.select("doc_id", "sent_idx", F.posexplode("tokengraph").alias("k", "t")).select("doc_id", "sent_idx", "k", "t.*")
 
-    return sentences.mapInPandas(run, "doc_id string, sent_idx int, k int, " + ", ".join(GRAPH.split(", ")[2:]))
+
+def unit_rows(told: DataFrame) -> DataFrame:
+    """The verbal units of `results`: doc_id, sent_idx, k, id and types."""
+    return told.select("doc_id", "sent_idx", F.posexplode("verbalunits").alias("k", "u")).select("doc_id", "sent_idx", "k", "u.*")
+
+
+class Analysed(NamedTuple):
+    """What `analyse_sources` gives: tokens, one row of results a sentence, the graph and the units of whole documents, problems."""
+
+    tokens: DataFrame
+    results: DataFrame
+    graph: DataFrame
+    units: DataFrame
+    problems: DataFrame
+
+
+def analyse_sources(sources: DataFrame, analyser: Analyser, segmented: DataFrame | None = None, **retry: Any) -> Analysed:
+    """Cited units to tokens, each sentence analysed with bounded retries, and what is wrong with the analyses as rows.
+
+    sources: doc_id, unit_pos, citation, text. segmented: token rows of another segmenter (`segment_by`). The results are
+    written once (the analyser is not asked again for each use).
+    """
+    tokens = cut(segment(sources) if segmented is None else segmented)
+    told = cut(results(tokens, analyser, **retry))
+    graph = combined(graph_rows(told))
+    units = combined(unit_rows(told)).withColumnRenamed("pos", "vu_pos")
+    return Analysed(tokens, told, graph, units, validate(tokens, graph, units))
 
 
 def combined(graph: DataFrame) -> DataFrame:

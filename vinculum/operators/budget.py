@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,17 @@ def fit_line(samples: DataFrame, x: str, y: str, by: list[str] | None = None) ->
     return worst
 
 
+def calibrate(samples: DataFrame, path: str, model: str, x: str = "num_tokens", y: str = "completion_tokens") -> dict:
+    """Fits the usable samples and writes the record with the time it was made; ValueError for fewer than two usable samples."""
+    rows = usable(samples)
+    if rows.limit(2).count() < 2:
+        raise ValueError("calibration needs at least 2 usable samples")
+    fit = fit_strict(rows, x, y)
+    record = {"intercept": fit["intercept"], "slope": fit["slope"], "sample_size": fit["sample_size"], "model": model, "calibrated_at": datetime.now().isoformat()}
+    Path(path).write_text(json.dumps(record, indent=2) + "\n", encoding="utf-8")
+    return record
+
+
 def fit_strict(samples: DataFrame, x: str, y: str) -> dict:
     """The fit as a calibration record; ValueError for fewer than two different x."""
     row = fit_line(samples, x, y).first()

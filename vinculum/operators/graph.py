@@ -4,10 +4,13 @@ from __future__ import annotations
 
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vinculum.operators.hierarchy import hierarchy
 from vinculum.runtime import cut
@@ -15,6 +18,7 @@ from vinculum.schemas import IMPLIED, PALETTE, ROOT, vocabulary
 
 FIELDS = ["pos", "tokentype", "text", "lemma", "verbalunit", "related1", "relationship1", "related2", "relationship2"]
 WHOLE_DOC_ROWS = 200_000
+MAX_DOUBLINGS = 64
 
 
 def latest(tokengraph: DataFrame, extra: tuple[str, ...] = ("context",)) -> DataFrame:
@@ -158,25 +162,34 @@ def _resolve_document(doc: str, rows: list[tuple]) -> list[tuple]:
 
 
 _NEED = ["doc_id", "id", "verbalunit", "related1", "relationship1", "related2", "relationship2"]
-_RESOLVED = "doc_id string, id string, unit_id string, is_anchor boolean, parent string, depth int, problem string"
+_RESOLVED = "unit_id string, is_anchor boolean, parent string, depth int, problem string"
+_RESOLVED_ARROW = [("unit_id", pa.string()), ("is_anchor", pa.bool_()), ("parent", pa.string()), ("depth", pa.int32()), ("problem", pa.string())]
 
 
 def _resolve_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Resolves document by document over rows sorted by doc_id and pos; a document may go on over batches."""
-    schema = pa.schema([("doc_id", pa.string()), ("id", pa.string()), ("unit_id", pa.string()), ("is_anchor", pa.bool_()), ("parent", pa.string()), ("depth", pa.int32()), ("problem", pa.string())])
-    pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
-    doc, rows, out = None, [], []
+    """Adds the resolved columns, document by document, to rows sorted by doc_id and pos; a document may go on over batches."""
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for doc, each in groupby(zip(*(rows.column(c).to_pylist() for c in _NEED)), key=lambda r: r[0]):
+            out += [r[2:] for r in _resolve_document(doc, [r[1:] for r in each])]
+        for (name, kind), values in zip(_RESOLVED_ARROW, zip(*out)):
+            rows = rows.append_column(name, pa.array(values, kind))
+        yield from rows.combine_chunks().to_batches()
+
+    open_: list[pa.RecordBatch] = []
     for batch in batches:
-        for d, *r in zip(*(c.to_pylist() for c in batch.columns)):
-            if d != doc:
-                if rows:
-                    out += _resolve_document(doc, rows)
-                doc, rows = d, []
-            rows.append(tuple(r))
-        yield pack(out)
-        out = []
-    if rows:
-        yield pack(_resolve_document(doc, rows))
+        if not batch.num_rows:
+            continue
+        docs = batch.column(batch.schema.get_field_index("doc_id"))
+        last = pc.index(docs, docs[-1]).as_py()  # the rows before that of the batch's last document are whole
+        if last or (open_ and open_[-1].column(batch.schema.get_field_index("doc_id"))[0] != docs[0]):
+            open_.append(batch.slice(0, last))
+            yield from told(pa.Table.from_batches([b for b in open_ if b.num_rows]))
+            open_ = []
+        open_.append(batch.slice(last))
+    if open_:
+        yield from told(pa.Table.from_batches(open_))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,33 +308,56 @@ def _by_component(pending: DataFrame, values) -> DataFrame:  # noqa: ANN001
     return sorted_.mapInArrow(run, "doc_id string, id string, value string")
 
 
-def resolve_rounds(nodes: DataFrame, on_loops=_unit_values, max_rounds: int = 10_000) -> DataFrame:  # noqa: ANN001
+def _follow(pending: DataFrame, done: DataFrame) -> DataFrame:
+    """doc_id, id, value, forced for the pending tokens whose first candidates lead to a settled token, by pointer doubling.
+
+    value: the settled token's; forced: no token on the way there had another candidate left.
+    """
+    nothing = F.lit(None).cast("string")
+    live = cut(pending.select("doc_id", "id", F.col("cands")[0].alias("jump"), (F.size("cands") == 1).alias("forced")))
+    ends = done.select("doc_id", F.col("id").alias("jump"), nothing.alias("next"), F.lit(True).alias("over"), "value", F.lit(True).alias("far"))
+    out = live.select("doc_id", "id", nothing.alias("value"), "forced").limit(0)
+    for _ in range(MAX_DOUBLINGS):
+        on = live.select("doc_id", F.col("id").alias("jump"), F.col("jump").alias("next"), F.lit(False).alias("over"), nothing.alias("value"), F.col("forced").alias("far"))
+        step = cut(live.join(ends.unionByName(on), ["doc_id", "jump"]).select("doc_id", "id", F.col("next").alias("jump"), (F.col("forced") & F.col("far")).alias("forced"), "over", "value"))
+        told = step.where("over")
+        if told.isEmpty():
+            return out
+        out = out.unionByName(told.select("doc_id", "id", "value", "forced"))
+        ends = ends.unionByName(told.select("doc_id", F.col("id").alias("jump"), nothing.alias("next"), F.lit(True).alias("over"), "value", F.col("forced").alias("far")))
+        live = step.where("not over").select("doc_id", "id", "jump", "forced")
+    raise RuntimeError("chains of candidates not followed to their ends")
+
+
+def resolve_rounds(nodes: DataFrame, on_loops=_unit_values, max_rounds: int = 1000) -> DataFrame:  # noqa: ANN001
     """doc_id, id, value: first non-null along ordered candidates, for documents too large for one task.
 
-    nodes: doc_id, id, pos, value (set on terminals), cands (ids in order). A token takes its first candidate's value once
-    that is known, and drops it if known to be none; these rounds are joins on (doc_id, id) over what is still open.
-    Where nothing moves any more, the rest are loops and what waits for them: `on_loops` settles each component of them
-    in list order, as it would be within the whole document.
+    nodes: doc_id, id, pos, value (set on terminals), cands (ids in order). First candidates are followed to their ends by
+    pointer doubling, so a chain of any length takes a logarithm of joins. A token takes the value that its first candidate
+    leads to; it has none where each on the way has no other candidate; and it drops a first candidate known to have
+    none. A round is as many joins as the longest chain has doublings; there are as many rounds as drops behind each
+    other, and an error after `max_rounds`. Where nothing moves any more, the rest are loops and what waits for them:
+    `on_loops` settles each component of them in list order, as it would be within the whole document.
     """
     ids = nodes.select("doc_id", F.col("id").alias("c"))
     open_ = nodes.where(F.col("value").isNull())
     known = open_.select("doc_id", "id", "pos", F.posexplode("cands").alias("prio", "c")).where("c is not null").join(ids, ["doc_id", "c"]).groupBy("doc_id", "id").agg(F.first("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("prio", "c"))).alias("cs"))
     pending = cut(known.select("doc_id", "id", "pos", F.col("cs.c").alias("cands")))
     done = cut(nodes.where(F.col("value").isNotNull()).select("doc_id", "id", "value").unionByName(open_.join(pending, ["doc_id", "id"], "left_anti").select("doc_id", "id", "value")))
-    left = pending.count()
     for _ in range(max_rounds):
-        if not left:
+        told = cut(_follow(pending, done).where("value is not null or forced").select("doc_id", "id", "value"))
+        done = done.unionByName(told)
+        none = done.where("value is null").select("doc_id", F.col("id").alias("c"), F.lit(True).alias("none"))
+        left = pending.join(told.select("doc_id", "id"), ["doc_id", "id"], "left_anti").withColumn("c", F.col("cands")[0]).join(none, ["doc_id", "c"], "left")
+        step = cut(left.select("doc_id", "id", "pos", F.when(F.col("none"), F.slice("cands", 2, 1 << 20)).otherwise(F.col("cands")).alias("cands"), F.coalesce("none", F.lit(False)).alias("dropped")))
+        spent = step.where("size(cands) = 0")
+        done = done.unionByName(spent.select("doc_id", "id", F.lit(None).cast("string").alias("value")))
+        pending = step.where("size(cands) > 0").select("doc_id", "id", "pos", "cands")
+        if step.where("dropped").isEmpty():
             break
-        head = pending.withColumn("c", F.col("cands")[0])
-        met = cut(head.join(done.select("doc_id", F.col("id").alias("c"), F.struct("value").alias("hit")), ["doc_id", "c"], "left"))
-        if met.where("hit is not null").isEmpty():
-            break
-        rest = F.slice("cands", 2, 1 << 20)
-        fresh = met.where("hit.value is not null or (hit is not null and size(cands) = 1)").select("doc_id", "id", F.col("hit.value").alias("value"))
-        done = cut(done.unionByName(fresh))
-        pending = cut(met.where("hit is null or (hit.value is null and size(cands) > 1)").select("doc_id", "id", "pos", F.when(F.col("hit").isNull(), F.col("cands")).otherwise(rest).alias("cands")))
-        left = pending.count()
-    if left:
+    else:
+        raise RuntimeError(f"candidates not settled after {max_rounds} rounds")
+    if not pending.isEmpty():
         each = pending.select("doc_id", "id", "pos", F.posexplode("cands").alias("prio", "c")).join(done.select("doc_id", F.col("id").alias("c"), F.struct("value").alias("hit")), ["doc_id", "c"], "left")
         some = each.where("hit is null or hit.value is not null").groupBy("doc_id", "id").agg(F.first("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("prio", "c", F.col("hit.value").alias("value")))).alias("cs"))
         done = cut(done.unionByName(_by_component(some, on_loops)))
@@ -357,18 +393,16 @@ def resolve(graph: DataFrame, whole_doc_rows: int = WHOLE_DOC_ROWS) -> DataFrame
     parent and depth (anchors only): the governing anchor and the number of anchors above; 0 where related1 is `root`;
     null, with problem `cycle` or `no_governor` where it starts, if no root is reached.
 
-    Documents of up to `whole_doc_rows` rows are resolved each in one task, in list order; larger ones by rounds of
-    joins with the same result. Duplicate ids must have been removed (`latest`).
+    Documents of up to `whole_doc_rows` rows are resolved each in one task, in list order, so that its memory has a bound;
+    larger ones by pointer doubling over all tasks, with the same result. Duplicate ids must have been removed (`latest`).
     """
-    small = graph.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    large = small.where(F.col("n") > whole_doc_rows).select("doc_id")
-    need = graph.select(*_NEED, "pos")
-    whole = lambda df: df.repartition("doc_id").sortWithinPartitions("doc_id", "pos").select(*_NEED).mapInArrow(_resolve_sorted, _RESOLVED)
+    schema = T.StructType([*graph.schema.fields, *T.StructType.fromDDL(_RESOLVED).fields])
+    whole = lambda df: df.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_resolve_sorted, schema)
+    large = cut(graph.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_doc_rows).select("doc_id"))
     if large.isEmpty():
-        told = whole(need)
-    else:
-        told = whole(need.join(large, "doc_id", "left_anti")).unionByName(_resolve_large(need.join(large, "doc_id", "left_semi")))
-    return graph.join(told, ["doc_id", "id"])
+        return whole(graph)
+    big = cut(graph.join(large, "doc_id", "left_semi"))
+    return whole(graph.join(large, "doc_id", "left_anti")).unionByName(big.join(_resolve_large(big.select(*_NEED, "pos")), ["doc_id", "id"]).select(*schema.names))
 
 
 def unit_sizes(resolved: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vinculum.functions.scan import scan
 from vinculum.operators.checks import guard_same
+from vinculum.operators.metric import summary
 
 KEY = ["label", "provider", "stage"]
+# The columns of a board.
 COLUMNS = ["label", "provider", "model", "family", "tier", "stage", "n", "mean", "min", "max", "field_mean", "relation_mean", "vu_mean", "elapsed_s", "n_calls", "total_cost", "error"]
 # Order of the stages.
 STAGES = {"baseline": 0, "gepa": 1, "bootstrap": 2, "skipped": 3}
@@ -20,10 +23,29 @@ def split(examples: DataFrame, held_out: DataFrame, key: str = "slug") -> tuple[
     return examples.join(held_out.select(key).distinct(), key, "left_anti"), examples.join(held_out.select(key).distinct(), key, "left_semi")
 
 
-def choose(rows: DataFrame, labels: DataFrame, key: str = "label") -> DataFrame:
-    """The rows of the chosen labels; RuntimeError for an unknown label."""
+def choose(rows: DataFrame, labels: DataFrame, key: str = "label", limit: int | None = None, order: str = "rank") -> DataFrame:
+    """The rows of the chosen labels, the first `limit` of them by `order`; RuntimeError for an unknown label."""
     guard_same(labels, rows, key, key)
-    return rows.join(labels.select(key).distinct(), key, "left_semi")
+    kept = rows.join(labels.select(key).distinct(), key, "left_semi")
+    return kept if limit is None else kept.orderBy(order, key).limit(limit)
+
+
+def pick(rows: DataFrame, chosen: DataFrame, key: str, order: str) -> DataFrame:
+    """The chosen rows in the order of their file, with its place among them (`picked`, from 0), whatever order they were chosen in."""
+    kept = rows.join(chosen.select(key).distinct(), key, "left_semi")
+    return scan(kept, sums={"_n": F.lit(1)}, key="path", pos=order).withColumn("picked", (F.col("_n") - 1).cast("int")).drop("_n")
+
+
+def run_summary(scored: DataFrame, calls: DataFrame, elapsed_s: float, since: int = 0) -> DataFrame:
+    """One row: the summary of scores (slug, error and the scores), the calls after a mark, the time taken, problems by slug, and its line of text.
+
+    problems: a map of slug to error of the examples that failed, which count as 0 everywhere.
+    """
+    failed = scored.where(F.col("error").isNotNull()).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slug", "error")))).alias("problems"))
+    row = summary(scored).crossJoin(usage_totals(calls, since)).crossJoin(failed).withColumn("elapsed_s", F.lit(float(elapsed_s)))  # each is one row
+    cost = F.when(F.col("total_cost").isNotNull(), F.format_string(", $%.4f", "total_cost")).otherwise("")
+    line = F.format_string("mean=%.3f  min=%.3f  max=%.3f  fields=%.3f  relations=%.3f  verbal-expr=%.3f  (%.1fs, %d calls%s)", "mean", "min", "max", "field_mean", "relation_mean", "vu_mean", "elapsed_s", "n_calls", cost)
+    return row.withColumn("line", line)
 
 
 def upsert(old: DataFrame, new: DataFrame, candidates: DataFrame) -> DataFrame:

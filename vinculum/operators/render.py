@@ -140,6 +140,17 @@ def mermaid(resolved: DataFrame, colours: DataFrame, orientation: str = "BT", co
     return mermaid_lines(resolved, colours, orientation, coloured).groupBy("doc_id").agg(join_in_order(F.col("line"), F.struct("section", "ord", "sub"), "\n").alias("diagram"))
 
 
+def console_dump(tokens: DataFrame, units: DataFrame, graph: DataFrame) -> DataFrame:
+    """doc_id, section, ord, line: the dump of an analysis: its tokens, its verbal expressions and its graph, in order of these."""
+    docs = tokens.select("doc_id").union(units.select("doc_id")).union(graph.select("doc_id")).distinct()
+    heads = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("ord"), F.lit(x).alias("line")) for s, k, x in ((0, 0, "Tokens:"), (2, 0, ""), (2, 1, "Verbal expressions:"), (4, 0, ""), (4, 1, "Token graph:"))])
+    wide = F.when(F.length("id") < 4, F.lpad("id", 4, " ")).otherwise(F.col("id"))
+    none = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    given = tokens.select("doc_id", F.lit(1).alias("section"), F.col("pos").alias("ord"), F.concat(F.lit("  "), wide, F.lit("  "), none("text")).alias("line"))
+    told = units.select("doc_id", F.lit(3), F.col("vu_pos"), F.concat(F.lit("  id="), none("id"), F.lit("  syntactic_type="), none("syntactic_type"), F.lit("  semantic_type="), none("semantic_type")))
+    return docs.select("doc_id", F.explode(heads).alias("h")).select("doc_id", "h.*").union(given).union(told).union(console_lines(graph).select("doc_id", F.lit(5), "pos", "line"))
+
+
 def console_lines(graph: DataFrame) -> DataFrame:
     """doc_id, pos, line: a token with its relations and unit, as a console dump prints it."""
     rel = lambda k: F.when(F.col(f"relationship{k}") != "", F.concat(F.col(f"relationship{k}"), F.lit(" -> "), F.coalesce(f"related{k}", F.lit("None"))))

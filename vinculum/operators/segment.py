@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vinculum.functions.scan import scan
+
 # Abbreviations kept whole, enclitics.
 ABBREVIATIONS = set("a.d. kal. non. id. f. cos. cn. c. l. m. p. q. sex. sp. ti. t. a. d. ser. cf. sc. v. a.u.c. app. mam.".split())
 ENCLITICS = ("que", "ve", "ne")
@@ -47,15 +49,50 @@ def _enclitics(sentence: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def segment(sources: DataFrame, segmenter: Segmenter = rule_segments) -> DataFrame:
-    """doc_id, sent_idx, pos, id, text, citation: the tokens of each document, ids t0, t1, ... over the document.
+PLACES = 1 << 24  # tokens that a unit may have
+
+
+def _units(sources: DataFrame) -> DataFrame:
+    rows = sources.where(F.col("doc_id").isNotNull() & F.col("unit_pos").isNotNull())
+    return rows.groupBy("doc_id", "unit_pos").agg(F.min(F.struct("citation", F.coalesce("text", F.lit("")).alias("text"))).alias("u")).select("doc_id", "unit_pos", "u.*")
 
-    sources: doc_id, unit_pos, citation, text. `segmenter` gets one document's units in order; null texts count as empty,
-    repeated units (same doc_id and unit_pos) once. A document is one call, as a sentence may span any of its units.
+
+def segment(sources: DataFrame, split_enclitics: bool = False) -> DataFrame:
+    """doc_id, sent_idx, pos, id, text, citation: the tokens of each document by `rule_segments`, ids t0, t1, ... over the document.
+
+    sources: doc_id, unit_pos, citation, text; null texts count as empty, repeated units (same doc_id and unit_pos) once,
+    units without doc_id or unit_pos not at all. Units are cut into tokens on their own; sentences and places are running
+    counts over chunks of units, so no document is one task.
     """
 
+    def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for doc, unit, citation, text in part.itertuples(index=False):
+                tokens = [t for sentence in rule_segments([(citation, text)]) for t, _ in sentence]
+                rows += [(doc, unit * PLACES + k, t, citation) for k, t in enumerate(tokens)]
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "text", "citation"])
+
+    each = _units(sources).mapInPandas(pieces, "doc_id string, at long, text string, citation string")
+    ends = F.col("text").isin(".", "?", "!").cast("int")
+    cut_ = scan(each, sums={"_ended": ends}, pos="at", chunk=64 * PLACES).withColumn("sent_idx", (F.col("_ended") - ends).cast("int")).drop("_ended")
+    if split_enclitics:
+        about = cut_.groupBy("doc_id", "sent_idx").agg(F.min("at").alias("first_at"), (F.max_by("text", "at") == "?").alias("asks"))
+        low, long = F.lower("text"), F.length("text") >= 6
+        end = F.when(long & low.rlike("(que|ve)$"), F.regexp_extract(low, "(que|ve)$", 1)).when(long & low.endswith("ne") & F.col("asks") & (F.col("at") == F.col("first_at")), "ne")
+        own = F.expr("substring(text, length(text) - length(ending) + 1)")
+        parts = F.when(F.col("ending").isNull(), F.array("text")).otherwise(F.array(F.expr("substring(text, 1, length(text) - length(ending))"), F.lower(own)))
+        cut_ = cut_.join(about, ["doc_id", "sent_idx"]).withColumn("ending", end).select("doc_id", "sent_idx", "at", "citation", F.posexplode(parts).alias("k", "text")).withColumn("at", F.col("at") * 2 + F.col("k")).drop("k")
+    one = F.lit(1)
+    placed = scan(cut_, sums={"_n": one}, pos="at", chunk=128 * PLACES).withColumn("pos", (F.col("_n") - 1).cast("int"))
+    return placed.select("doc_id", "sent_idx", "pos", F.concat(F.lit("t"), F.col("pos").cast("string")).alias("id"), "text", "citation")
+
+
+def segment_by(sources: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """As `segment`, by any segmenter: it gets one document's units in order, so a document is one call and must fit one task."""
+
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("unit_pos").sort_values("unit_pos")
+        part = part.sort_values("unit_pos")
         rows, n = [], 0
         doc = part["doc_id"].iloc[0]
         for k, sentence in enumerate(segmenter([(c, t or "") for c, t in zip(part["citation"], part["text"])])):
@@ -64,7 +101,7 @@ def segment(sources: DataFrame, segmenter: Segmenter = rule_segments) -> DataFra
                 n += 1
         return pd.DataFrame(rows, columns=["doc_id", "sent_idx", "pos", "id", "text", "citation"])
 
-    return sources.where(F.col("doc_id").isNotNull()).select("doc_id", "unit_pos", "citation", "text").groupBy("doc_id").applyInPandas(one, SEGMENTED)
+    return _units(sources).select("doc_id", "unit_pos", "citation", "text").groupBy("doc_id").applyInPandas(one, SEGMENTED)
 
 
 def as_source(spark, passage: str, citation: str = "", doc_id: str = "passage") -> DataFrame:  # noqa: ANN001

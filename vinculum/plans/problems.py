@@ -89,13 +89,13 @@ parsed AS (SELECT *, CASE WHEN left(raw[1], 1) = '"' THEN replace(raw[1][2:-2],
 """
 _P2 = (
     _BLOCK_SQL
-    + r""", judged AS (SELECT file_id, line_no, CASE WHEN NOT well THEN 'quoting'
+    + r""", judged AS (SELECT *, CASE WHEN NOT well THEN 'quoting'
   WHEN len(raw) <> CASE block WHEN '#!ctsdata' THEN 2 WHEN '#!tokens' THEN 10 ELSE 4 END THEN 'column_count'
   WHEN block = '#!ctsdata' AND (NOT regexp_full_match(c1, '(?s)urn:cts:[^:]+:[^:]+:[^:]+') OR regexp_matches(c1, '[\s\p{Z}\x{200B}\x{85}]')) THEN 'bad_urn'
   WHEN block = '#!ctsdata' AND (regexp_full_match(c2, '[\x{20}\x{A0}\x{3000}\x{200B}]*') OR regexp_matches(c2, '[\x{FFFD}\x{00}-\x{1F}\x{7F}-\x{9F}]')) THEN 'bad_text'
   WHEN block <> '#!ctsdata' AND NOT regexp_full_match(c1, '([a-z0-9]+(\.[a-z0-9]+){0,2})?') THEN 'bad_context'
-  WHEN block = '#!sentences' AND NOT regexp_full_match(c3, '([a-z0-9]+(\.[a-z0-9]+){0,2})?') THEN 'bad_context' END AS reason FROM parsed)
-SELECT file_id, line_no, reason FROM judged WHERE reason IS NOT NULL"""
+  WHEN block = '#!sentences' AND NOT regexp_full_match(c3, '([a-z0-9]+(\.[a-z0-9]+){0,2})?') THEN 'bad_context' END AS reason FROM parsed), plain AS (SELECT *, list_transform(raw, lambda x: CASE WHEN left(x, 1) = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM judged WHERE reason IS NULL)
+"""
 )
 _LINKS = f"""WITH RECURSIVE {_REC}, links AS (SELECT a.doc_id, a.id, coalesce(p.id, q.id) AS parent FROM rec a
   LEFT JOIN rec p ON p.doc_id = a.doc_id AND p.id = a.r1 LEFT JOIN rec q ON q.doc_id = a.doc_id AND q.id = a.r2
@@ -115,7 +115,9 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_passages, p
 SQL = {
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_report": _P1 + "SELECT src_table, period, field, count(*) AS orphans, count(DISTINCT doc_id) AS documents FROM found GROUP BY src_table, period, field",
-    "p2_found": _P2,
+    "p2_found": _P2 + "SELECT file_id, line_no, reason FROM judged WHERE reason IS NOT NULL",
+    "p2_passages": _P2 + "SELECT file_id, line_no, array_to_string(string_split(f[1], ':')[1:4], ':') || ':' AS urnbase, string_split(f[1], ':')[5] AS citation, f[2] AS text FROM plain WHERE block = '#!ctsdata'",
+    "p2_tokens": _P2 + "SELECT file_id, line_no, " + ", ".join(f"nullif(f[{k}], '') AS {c}" for k, c in enumerate(R.BLOCKS["#!tokens"], 1)) + " FROM plain WHERE block = '#!tokens'",
     "p3_found": _LINKS + "SELECT doc_id, id FROM loops",
     "p3_paths": _LINKS
     + """SELECT rec.doc_id, rec.id, t.path, coalesce(t.depth, -1) AS depth, t.root, o.id IS NOT NULL AS on_loop, t.id IS NULL AND o.id IS NULL AS into_loop

@@ -1,18 +1,20 @@
 """Strict readers of block-structured files: every error is a row with its place, the strict form raises the first.
 
-Lines are numbered as Python's splitlines numbers them. State (which block a line is in) is carried in chunks, so one huge
-file is read by many tasks.
+Lines are numbered as Python's splitlines numbers them (but a blank line at a file's end that only a rarer break begins
+counts). Files are read by splits, and state (line numbers, which block a line is in) is carried over splits and chunks, so
+one huge file is read by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vinculum.functions.scan import scan
 from vinculum.functions.text import decode_field, quoted
-from vinculum.operators.checks import raise_first
-from vinculum.schemas import SEMANTIC, SYNTACTIC, TOKENTYPES
+from vinculum.operators.checks import in_spans, raise_first
+from vinculum.runtime import cut
+from vinculum.schemas import IMPLIED, SEMANTIC, SYNTACTIC, TOKENTYPES
 
 # Block labels and headers of analysis files and of passage files.
 ANALYSIS = {
@@ -25,9 +27,13 @@ BREAKS = "\r\n|[" + "".join(map(chr, (0xA, 0xB, 0xC, 0xD, 0x1C, 0x1D, 0x1E, 0x85
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, line_no (from 1), line of text files, broken at every line break that Python's splitlines knows."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return lines_of(whole, "path", "value")
+    """path, line_no (from 1), line of text files, broken at every line break that Python's splitlines knows; an empty file has none."""
+    own = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.posexplode(F.split("value", BREAKS, -1)).alias("k", "line"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(own)  # row numbers hold only while the splits are read in the same way
+    counts = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("path", "split", (F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")).alias("before"))  # a row a split
+    inside = rows.withColumn("i", F.row_number().over(Window.partitionBy("path", "split").orderBy("row", "k")))
+    return inside.join(before, ["path", "split"]).select("path", (F.col("i") + F.col("before")).cast("int").alias("line_no"), "line")
 
 
 def lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -148,6 +154,21 @@ def analyses(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     return graph, units, sentences, told.unionByName(tokens_told).unionByName(units_told).unionByName(sentences_told)
 
 
+def reconstructed(graph: DataFrame, sentences: DataFrame) -> DataFrame:
+    """doc_id, sent_idx, tokens: the token lists of saved sentences, from the rows between their boundary tokens without implied ones.
+
+    graph: doc_id, pos, id, tokentype, text, context; sentences: doc_id, sent_idx, first_id, last_id. A sentence of which a
+    boundary is not in the graph, or the last comes before the first, has no row; one of implied tokens only an empty list.
+    """
+    at = graph.select("doc_id", "id", "pos")
+    spans = sentences
+    for end, name in (("first", "start_pos"), ("last", "end_pos")):
+        spans = spans.join(at.select("doc_id", F.col("id").alias(f"{end}_id"), F.col("pos").alias(name)), ["doc_id", f"{end}_id"])
+    token = F.when(~F.col("tokentype").isin(IMPLIED), F.struct("pos", "id", "text", F.col("context").alias("citation")))
+    lists = in_spans(graph, spans).groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(token)).alias("t"))
+    return lists.select("doc_id", "sent_idx", F.transform("t", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"), x["citation"].alias("citation"))).alias("tokens"))
+
+
 def read_passages(spark: SparkSession, path: str | list[str], delimiter: str = "|", strict: bool = True) -> DataFrame:
     """Passage files as rows; strict raises ValueError at the first problem, else the good rows come out."""
     rows, told = passages(read_lines(spark, path), delimiter)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vinculum.functions.scan import join_in_order
 from vinculum.functions.text import encode_field
-from vinculum.operators import checks
+from vinculum.operators import checks, render
 from vinculum.schemas import IMPLIED
 from vinculum.sources.blocks import ANALYSIS
 
@@ -46,8 +46,20 @@ def serialise(tokens: DataFrame, units: DataFrame, graph: DataFrame) -> DataFram
     return analysis_lines(tokens, units, graph).groupBy("doc_id").agg(F.concat(join_in_order(F.col("line"), F.struct("section", "ord"), "\n"), F.lit("\n")).alias("content"))
 
 
+def write_records(contents: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """The texts as records (parquet: doc_id, content) sorted by doc_id, in files of at most `per_file` documents: the form for many documents."""
+    contents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", per_file).mode("overwrite").parquet(path)
+
+
+def save_diagrams(resolved: DataFrame, colours: DataFrame, path: str, orientation: str = "BT", coloured: bool = True) -> DataFrame:
+    """Writes the diagram of every document (`write_records`: doc_id, diagram with a line break at its end); returns the warnings of edges left out."""
+    drawn = render.mermaid(resolved, colours, orientation, coloured)
+    write_records(drawn.withColumn("diagram", F.concat("diagram", F.lit("\n"))), path)
+    return render.mermaid_warnings(resolved)
+
+
 def write_files(contents: DataFrame, path: str, column: str = "content") -> None:
-    """One folder a document (doc_id=...) with its text; a trailing line break is written once."""
+    """One folder a document (doc_id=...) with its text, for a few documents; a trailing line break is written once."""
     contents.select("doc_id", F.rtrim(F.col(column), F.lit("\n")).alias("value")).write.partitionBy("doc_id").mode("overwrite").text(path)
 
 
@@ -58,6 +70,21 @@ def write_passages(rows: DataFrame, delimiter: str = "|") -> DataFrame:
     return body.select("path", F.concat(F.lit(f"#!ctsdata\nurn{delimiter}text\n"), "body", F.lit("\n")).alias("content"))
 
 
+def harvest(tokens: DataFrame, graph: DataFrame, units: DataFrame, slugs: DataFrame, skip_validation: bool = False) -> DataFrame:
+    """slug, passage, tags, answer: analyses as gold examples. ValueError where there is none, or where `validate` finds anything.
+
+    slugs: doc_id, slug, tags and passage (null: the surface text of the graph).
+    """
+    mine = graph.join(slugs.select("doc_id"), "doc_id", "left_semi")
+    if mine.isEmpty():
+        raise ValueError("a gold example needs a token graph that is not empty")
+    if not skip_validation:
+        some = lambda df: df.join(slugs.select("doc_id"), "doc_id", "left_semi")
+        checks.raise_first(checks.validate(some(tokens), mine, some(units)))
+    texts = render.surface_text(mine)
+    return slugs.join(sparse_examples(mine, units), "doc_id").join(texts, "doc_id", "left").select("slug", F.coalesce("passage", "surface").alias("passage"), "tags", "answer")
+
+
 def sparse_examples(graph: DataFrame, units: DataFrame) -> DataFrame:
     """doc_id, answer: a gold example as JSON, optional fields that are null left out, a null text kept."""
     tok = F.struct("id", F.col("text").alias("token"), "tokentype", "lemma", F.col("verbalunit").alias("verbalunitid"), F.col("related1").alias("relatedtoken1"), "relationship1", F.col("related2").alias("relatedtoken2"), "relationship2")

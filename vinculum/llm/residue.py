@@ -59,13 +59,13 @@ INVISIBLE = r"[­​-‍⁠﻿]"
 SLOTS = 1 << 18
 WINDOW = 10  # tokens that are judged together
 PIECE = 40  # tokens of a training row, with the WINDOW - 1 before it
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 20_000
 SAMPLE_PIECES = 40_000
 SEEN = 3  # training rows that a feature must stand in
 HELD = 5  # every so many sources are kept for calibration
 STRAY = 5e-4  # of unlabelled pieces so many may hold residue that the weak labels do not know: the highest scores are no negatives
 DRAWN = 3  # of every so many unlabelled pieces one window is drawn; the others give windows where they score high
-MARGIN = 1.0
+MARGIN, SURE_MARGIN = 1.0, 2.0
 BAND = (-5.0, -3.0)  # the band of the exact check begins within
 TOKENS = r"[^\W\d_]+|\d+|_+|[^\w\s]"
 CACHE = 300_000
@@ -77,14 +77,20 @@ def flattened(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"(?U)\s+", " "), QUOTED, "")
 
 
+# what a page puts between the words of a text: line and note numbers, markup, divisions of words
+BETWEEN = r"(?<=[\p{L},.;:]) \[?\d{1,4}\]?(?= \p{L})|</?(?:i|b|em|strong|u|p|br|span|div|sup|sub|l|lg|lb|head)\b[^<>]{0,40}>|(?<=\p{L})[-\u2010\u2011\u00AC] (?=\p{Ll})"
+
+
 def holds_residue(flat: Column) -> Column:
-    """Exact check of a flattened text: phrases, or the structure of placeholders, filler and statuses."""
+    """Exact check of a flattened text: phrases, or the structure of placeholders, filler and statuses, as it stands or without what stands between its words."""
 
     def check(flat: Column) -> Column:
         phrase = F.exists(F.array(F.lower(flat)), lambda low: reduce(Column.__or__, [low.contains(p) for p in PHRASES]))
         return phrase | flat.rlike(STRUCTURE)
 
-    return F.exists(F.array(flat), check)  # bound once; inlined, it would be computed for every phrase
+    bare = F.when(flat.rlike(BETWEEN), F.regexp_replace(flat, BETWEEN, ""))
+    # bound once; inlined, they would be computed for every phrase
+    return F.exists(F.array(flat), check) | F.coalesce(F.exists(F.array(bare), check), F.lit(False))
 
 
 def is_residue(text: Column) -> Column:
@@ -202,6 +208,8 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                 found = list(_FIND(text))
                 tokens = packed([m.group() for m in found], cache)
                 spans = [m.span() for m in WEAK.finditer(text)] if some else []
+                if some and not spans:
+                    continue  # its residue is broken up: no window shows the words together
                 for low in range(0, len(found), PIECE):
                     at = max(0, low - WINDOW + 1)
                     high = min(len(found), low + PIECE)
@@ -260,7 +268,7 @@ def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int
     """A model from at most `most` training rows of each label, `HELD` of the sources kept for its calibration.
 
     The bound keeps what reaches the driver constant. After each training the windows of unlabelled pieces that score
-    highest are added as negatives, `mined` times. sure: over the scores of the kept pieces without a label, but for `STRAY` of them, by `MARGIN`;
+    highest are added as negatives, `mined` times. sure: over the scores of the kept pieces without a label, but for `STRAY` of them, by `SURE_MARGIN`;
     likely: under the lowest kept label but for one in a hundred, within `BAND`. None where the sample has not both labels.
     """
     part = [rows.where(c).orderBy("h").limit(most).toPandas() for c in ("size(ones) > 0", "size(ones) = 0")]
@@ -308,7 +316,7 @@ def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int
             y = np.r_[y, np.zeros(len(top))]
     judged = kept if kept.any() else ~kept
     low, high = (scores(np.flatnonzero(judged & m)).max(1) for m in (label, ~label))
-    return Model(weights, constant, float(np.clip(np.quantile(low, 0.01) - MARGIN, *BAND)), float(max(0.0, np.quantile(high, 1 - STRAY)) + MARGIN))
+    return Model(weights, constant, float(np.clip(np.quantile(low, 0.01) - MARGIN, *BAND)), float(max(0.0, np.quantile(high, 1 - STRAY)) + SURE_MARGIN))
 
 
 def text_scores(texts: list[str], model: Model, cache: _Slots) -> np.ndarray:

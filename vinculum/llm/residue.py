@@ -59,7 +59,7 @@ INVISIBLE = r"[­​-‍⁠﻿]"
 SLOTS = 1 << 18
 WINDOW = 10  # tokens that are judged together
 PIECE = 40  # tokens of a training row, with the WINDOW - 1 before it
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 14_000
 SAMPLE_PIECES = 40_000
 SEEN = 3  # training rows that a feature must stand in
 HELD = 5  # every so many sources are kept for calibration

@@ -3,6 +3,7 @@
 import random
 import warnings
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,85 @@ def test_units_depths_and_views(spark):
     assert {x.id: x.max_depth for x in G.max_depth(r).withColumnRenamed("doc_id", "id").collect()} == {"p": 1}
 
 
+def test_depth_html_reads_its_rows_once(spark, tmp_path):
+    toks = [
+        tok("p", 0, "q", '"', "punctuation", r1="v"), tok("p", 1, "v", "it & it", unit="v", r1="root", l1="unit verb"), tok("p", 2, "w", "dum", unit="w", r1="v", l1="unit verb"), tok("p", 3, "x", "sit", r1="w"),
+        tok("p", 4, "e", "que", "enclitic", r1="x"), tok("p", 5, "z", "ne", unit="z", r1="w", l1="unit verb"), tok("p", 6, "i", None, "implied sum", unit="i", r1="root"), tok("p", 7, "y", None, r1="v"), tok("p", 8, "u", '"', "punctuation", r1="v"),
+        tok("only", 0, "d", "a", unit="d", r1="f"), tok("only", 1, "f", "b", unit="f", r1="d"), tok("late", 3, "a", None, "implied sum"),
+        *(tok("many", k, f"m{k}", f"w{k}", unit=f"m{k}", r1="root" if k < 2 else f"m{k // 2}") for k in range(40)),
+    ]
+    r = resolved(spark, toks).cache()
+    colours = G.unit_colours(r)
+
+    def by_chunks(cap):
+        """The blocks of `depth_blocks`, and the spacing of `join_classes` within them."""
+        fill = {(c.doc_id, c.unit_id): c for c in colours.collect()}
+        deep = {(x.doc_id, x.id): x.depth for x in r.where("is_anchor").collect()}
+        blocks_ = R.depth_blocks(r).cache()
+        sep = {(x.doc_id, x.id): x.sep for x in R.join_classes(blocks_, "block").collect()}
+        out = {}
+        for x in blocks_.orderBy("doc_id", "pos").collect():
+            d = deep.get((x.doc_id, x.block_unit)) or 0
+            if cap is None or d <= cap:
+                c, text = fill.get((x.doc_id, x.unit_id)), (x.text or "").replace("&", "&amp;").replace('"', "&quot;")
+                lit = c is not None and x.tokentype == "lexical"
+                body = out.setdefault(x.doc_id, {}).setdefault(x.block, [f'<div style="margin-left: {d * 2.0}em; margin-bottom: 0.35em;">'])
+                if (x.doc_id, x.id) in sep:
+                    body.append(sep[x.doc_id, x.id] + (f'<span style="background-color: {c.fill}; color: {c.ink};">{text}</span>' if lit else text))
+        return {doc: "\n".join("".join(b) + "</div>" for b in bs.values()) for doc, bs in out.items()}
+
+    for cap in (None, 0, 1):
+        want = by_chunks(cap)
+        assert {x.doc_id: x.html for x in R.depth_html(r, cap=cap).collect()} == want
+        assert {x.doc_id: x.html for x in R.depth_html(r, colours, cap=cap).collect()} == want
+    assert want["late"] == '<div style="margin-left: 0.0em; margin-bottom: 0.35em;"></div>'
+
+    graph(spark, toks).write.parquet(f"{tmp_path}/tokengraph.parquet")
+    from vinculum.plans.reference import depth_html_capped
+
+    df = depth_html_capped(spark, str(tmp_path))
+    assert {x.doc_id: x.html for x in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 0 and plan.count("MapInArrow") == 3 and plan.count("Relation ") == 1
+
+
+def test_texts_in_parts(monkeypatch):
+    pieces = [("a", "</div>\n<div>x"), ("a", ""), ("a", "yé"), ("b", "</div>\n<div>"), ("c", "</div>\n<div>1"), ("c", "</div>\n<div>2"), ("c", "3")]
+    want = [("a", "<div>xyé</div>"), ("b", "<div></div>"), ("c", "<div>1</div>\n<div>23</div>")]
+    told = lambda batches: [tuple(x.values()) for b in batches for x in b.to_pylist()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string())], ["doc_id", "text"])
+    for size in (1, 2, 3, 7):
+        cut = [batch(pieces).slice(k, size) for k in range(0, 7, size)]
+        assert told(R._wholes(iter(cut))) == want
+        for most in (1, 5, 1000):
+            monkeypatch.setattr(R, "_LONG", most)
+            parts = told(R._parts(iter(cut)))
+            assert told(R._wholes(iter([batch([(d, t) for d, _, t in parts])]))) == want and len({x[:2] for x in parts}) == len(parts)
+    assert told(R._wholes(iter([]))) == []
+
+
+def test_long_documents_by_row_numbers(spark):
+    r = random.Random(7)
+    labels = ["unit verb", "circumstantial participle", "ablative absolute", "subject", None]
+
+    def document(doc, n, near):
+        ids = [f"t{k}" for k in range(n)]
+        some = lambda k: r.choice([None, "root", "gone", ids[max(0, k - 1)], r.choice(ids[max(0, k - near) : k + near])])
+        return [tok(doc, k, i, unit=r.choice([None, None, None, i, "elsewhere"]), r1=some(k), l1=r.choice(labels), r2=some(k), l2=r.choice(labels)) for k, i in enumerate(ids)]
+
+    docs = [document(f"d{k}", r.choice([1, 3, 9, 40]), r.choice([2, 40])) for k in range(150)]
+    chain = [tok("chain", k, f"t{k}", unit=f"t{k}" if k == 299 else None, r1=f"t{k + 1}") for k in range(300)] + [tok("lost", k, f"t{k}", r1=f"t{k + 1}") for k in range(300)]
+    rows_ = [(t[0], t[3], t[7], t[8], t[9], t[10], t[11]) for d in docs for t in d] + [(t[0], t[3], t[7], t[8], t[9], t[10], t[11]) for t in chain]
+    rows_.sort(key=lambda x: x[0])
+    table_ = pa.Table.from_arrays([pa.array([x[k] for x in rows_], pa.string()) for k in range(7)], G._NEED)
+    for size in (5, 1000):
+        told = [[tuple(x.values()) for b in G._resolve_sorted(iter(table_.to_batches(max_chunksize=size)), most) for x in b.to_pylist()] for most in (10**6, 0, 20)]
+        assert len(told[0]) == len(rows_) and told[1] == told[0] and told[2] == told[0]
+    assert {x[11] for x in told[0]} == {None, "cycle", "no_governor"}
+    toks = [t for d in docs[:40] for t in d]
+    assert rows(resolved(spark, toks, many_rows=2)) == rows(resolved(spark, toks))
+
+
 def test_absolute_cycle_and_coordination(spark):
     toks = [
         tok("a", 0, "n", "urbe", r1="v", l1="ablative absolute"), tok("a", 1, "p", "capta", unit="p", r1="n", l1="circumstantial participle"), tok("a", 2, "v", "fugit", unit="v", r1="root", l1="unit verb"),

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 
+import tempfile
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -17,13 +20,15 @@ from vinculum.runtime import cut
 from vinculum.schemas import IMPLIED, PALETTE, ROOT, vocabulary
 
 FIELDS = ["pos", "tokentype", "text", "lemma", "verbalunit", "related1", "relationship1", "related2", "relationship2"]
-WHOLE_DOC_ROWS = 200_000
+WHOLE_DOC_ROWS = 3_000_000
+MANY_ROWS = 200_000
 MAX_DOUBLINGS = 64
+ROUNDS = 64
 
 
-def latest(tokengraph: DataFrame, extra: tuple[str, ...] = ("context",)) -> DataFrame:
-    """One row a record (doc_id, id): its first delivery. Rows with null doc_id or id are left out."""
-    fields = [*FIELDS, *extra]
+def latest(tokengraph: DataFrame, extra: tuple[str, ...] = ("context",), without: tuple[str, ...] = ()) -> DataFrame:
+    """One row a record (doc_id, id): its first delivery. Rows with null doc_id or id are left out, and the fields of `without`."""
+    fields = [f for f in (*FIELDS, *extra) if f not in without]
     kept = tokengraph.where(F.col("doc_id").isNotNull() & F.col("id").isNotNull()).groupBy("doc_id", "id").agg(F.min_by(F.struct(*fields), "loaded_at").alias("v"))
     return kept.select("doc_id", "id", *[F.col("v")[f].alias(f) for f in fields])
 
@@ -67,6 +72,29 @@ def reverse_links(graph: DataFrame, label: str) -> DataFrame:
 # --- resolution inside one document, in the order the annotation scheme prescribes ---
 
 
+def _depths(anchors: list, depth: dict, parent: dict) -> tuple[dict, dict]:
+    """(depths, problems) of anchors in list order; depth has those of the roots, parent the governors of all others."""
+    problem: dict = {}
+    for a in anchors:
+        path: dict = {}
+        i = a
+        while i not in depth and i not in path:
+            path[i] = None
+            if parent[i] is None:
+                problem[i] = "no_governor"
+                depth[i] = None
+                break
+            i = parent[i]
+        if i in path and i not in depth:
+            problem[i] = "cycle"
+            depth[i] = None
+        for j in reversed(path):
+            if j not in depth:
+                above = depth[parent[j]]
+                depth[j] = None if above is None else above + 1
+    return depth, problem
+
+
 def _resolve_document(doc: str, rows: list[tuple]) -> list[tuple]:
     """The resolved columns for the tokens of one document, given in list order as _NEED without doc_id and pos."""
     by = {r[0]: r for r in rows}
@@ -139,57 +167,14 @@ def _resolve_document(doc: str, rows: list[tuple]) -> list[tuple]:
         if by[a][2] != ROOT:
             p = chase(by[a][2])
             parent[a] = p if p is not None and p != a else ((q if q != a else None) if (q := chase(by[a][4])) is not None else None)
-    depth: dict = {a: 0 for a in anchors if by[a][2] == ROOT}
-    problem: dict = {}
-    for a in anchors:
-        path = []
-        i = a
-        while i not in depth and i not in path:
-            path.append(i)
-            if parent[i] is None:
-                problem[i] = "no_governor"
-                depth[i] = None
-                break
-            i = parent[i]
-        if i in path and i not in depth:
-            problem[i] = "cycle"
-            depth[i] = None
-        for j in reversed(path):
-            if j not in depth:
-                above = depth[parent[j]]
-                depth[j] = None if above is None else above + 1
+    depth, problem = _depths(anchors, {a: 0 for a in anchors if by[a][2] == ROOT}, parent)
     return [(doc, r[0], units[r[0]], r[1] == r[0], parent.get(r[0]), depth.get(r[0]), problem.get(r[0])) for r in rows]
 
 
 _NEED = ["doc_id", "id", "verbalunit", "related1", "relationship1", "related2", "relationship2"]
 _RESOLVED = "unit_id string, is_anchor boolean, parent string, depth int, problem string"
 _RESOLVED_ARROW = [("unit_id", pa.string()), ("is_anchor", pa.bool_()), ("parent", pa.string()), ("depth", pa.int32()), ("problem", pa.string())]
-
-
-def _resolve_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the resolved columns, document by document, to rows sorted by doc_id and pos; a document may go on over batches."""
-
-    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for doc, each in groupby(zip(*(rows.column(c).to_pylist() for c in _NEED)), key=lambda r: r[0]):
-            out += [r[2:] for r in _resolve_document(doc, [r[1:] for r in each])]
-        for (name, kind), values in zip(_RESOLVED_ARROW, zip(*out)):
-            rows = rows.append_column(name, pa.array(values, kind))
-        yield from rows.combine_chunks().to_batches()
-
-    open_: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        docs = batch.column(batch.schema.get_field_index("doc_id"))
-        last = pc.index(docs, docs[-1]).as_py()  # the rows before that of the batch's last document are whole
-        if last or (open_ and open_[-1].column(batch.schema.get_field_index("doc_id"))[0] != docs[0]):
-            open_.append(batch.slice(0, last))
-            yield from told(pa.Table.from_batches([b for b in open_ if b.num_rows]))
-            open_ = []
-        open_.append(batch.slice(last))
-    if open_:
-        yield from told(pa.Table.from_batches(open_))
+_PROBLEMS = ["no_governor", "cycle"]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,6 +263,148 @@ def _loop_entries(rows: list[tuple]) -> dict:
     return {j: "cycle" if j == i else None for j in by}
 
 
+def _settle(value: np.ndarray, cands: np.ndarray, on_loops) -> np.ndarray:  # noqa: ANN001
+    """Of each row of a document the row whose value it takes, -1 for none: as `resolve_rounds`, over row numbers.
+
+    value: the row's own number on terminals, else -2. cands: four or fewer rows of candidates in order, -1 for none.
+    What neither leads to a terminal nor to nothing after `ROUNDS` rounds, loops mostly, goes to `on_loops` in list order.
+    """
+    value, n, wide = value.copy(), len(value), len(cands)
+    later = np.cumsum((cands >= 0)[::-1], axis=0, dtype=np.int8)[::-1]  # candidates from here on
+    at = np.zeros(n, np.int8)
+    for _ in range(ROUNDS):
+        todo = np.flatnonzero(value == -2)
+        moved = False
+        for _ in range(wide):
+            on = todo[at[todo] < wide]
+            c = cands[at[on], on]
+            gone = on[(c < 0) | (value[c] == -1)]
+            at[gone] += 1
+            moved |= len(gone) > 0
+        spent = at[todo] == wide
+        value[todo[spent]] = -1
+        todo = todo[~spent]
+        if not len(todo):
+            break
+        jump, forced = np.arange(n, dtype=np.int32), np.ones(n, bool)
+        jump[todo] = cands[at[todo], todo]
+        forced[todo] = later[at[todo], todo] == 1
+        for _ in range(n.bit_length()):
+            if not (value[jump[todo]] == -2).any():
+                break
+            forced[todo] &= forced[jump[todo]]
+            jump[todo] = jump[jump[todo]]
+        told = value[jump[todo]]
+        sure = (told >= 0) | ((told == -1) & forced[todo])
+        value[todo[sure]] = told[sure]
+        if not moved and not sure.any():
+            break
+    todo = np.flatnonzero(value == -2)
+    if len(todo):
+        left = ((i, [int(c) for c in cands[:, i] if c >= 0 and value[c] != -1]) for i in todo.tolist())
+        known = on_loops([(i, [{"c": c, "value": int(value[c]) if value[c] >= 0 else None} for c in cs]) for i, cs in left])
+        value[todo] = [-1 if (v := known[i]) is None else v for i in todo.tolist()]
+    return value
+
+
+def _resolve_long(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """As `_resolve_document` over the rows of one long document: by row numbers instead of rows as objects, about 110 bytes a row."""
+    n = rows.num_rows
+    ids = rows.column("id").combine_chunks()
+    own, related, label = rows.column("verbalunit"), [rows.column("related1"), rows.column("related2")], [rows.column("relationship1"), rows.column("relationship2")]
+    true = lambda x: x.fill_null(False).to_numpy()
+    to = [pc.index_in(r, value_set=ids).fill_null(-1).to_numpy() for r in related]
+    root = [true(pc.equal(r, ROOT)) for r in related]
+
+    def pointing(name: str) -> np.ndarray:
+        """The last row that points at each row by a label, -1 for none."""
+        last = np.full(n, -1, np.int32)
+        for r, none, la in zip(to, root, label):
+            src = np.flatnonzero(true(pc.equal(la, name)) & ~none & (r >= 0))
+            np.maximum.at(last, r[src], src.astype(np.int32))
+        return last
+
+    absolute = true(pc.equal(label[0], "ablative absolute")) | true(pc.equal(label[1], "ablative absolute"))
+    number = np.arange(n, dtype=np.int32)
+    unit = _settle(np.where(own.is_valid().to_numpy(), number, -2), np.stack([pointing("unit verb"), np.where(absolute, pointing("circumstantial participle"), -1), *to]), _unit_values)
+    anchor = true(pc.equal(own, rows.column("id")))
+    reach = _settle(np.where(anchor, number, -2), np.stack(to), _reached_values)
+    up = [np.where(r >= 0, reach[r], -1) for r in to]
+    up = [np.where(u == number, -1, u) for u in up]
+    up = np.where(anchor & ~root[0], np.where(up[0] >= 0, up[0], up[1]), -1)
+    anchors = np.flatnonzero(anchor).tolist()
+    depth, problem = _depths(anchors, {a: 0 for a in np.flatnonzero(anchor & root[0]).tolist()}, dict(zip(anchors, (None if p < 0 else p for p in up[anchor].tolist()))))
+    deep, said = np.full(n, -1, np.int32), np.full(n, -1, np.int8)
+    deep[anchors] = [-1 if (x := depth[a]) is None else x for a in anchors]
+    said[list(problem)] = [_PROBLEMS.index(x) for x in problem.values()]
+    nulls = lambda x: pa.array(x, mask=x < 0)
+    own = own.combine_chunks()
+    start = 0
+    for batch in rows.to_batches():
+        here = slice(start, start := start + batch.num_rows)
+        told = [own.take(nulls(unit[here])), pa.array(anchor[here]), ids.take(nulls(up[here])), nulls(deep[here]), pa.array(_PROBLEMS).take(nulls(said[here]))]
+        for (name, _), values in zip(_RESOLVED_ARROW, told):
+            batch = batch.append_column(name, values)
+        yield batch
+
+
+class _Spool:
+    """The rows of one long document in a file without a name; read back by mapping it, so that they need no memory."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        self.doc, schema = batches[0].column("doc_id")[0], batches[0].schema
+        self.file = tempfile.NamedTemporaryFile()
+        self.out = pa.ipc.new_file(self.file.name, schema)
+        for b in batches:
+            self.out.write_batch(b)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        self.out.close()
+        with self.file, pa.memory_map(self.file.name) as mapped:
+            yield from _resolve_long(pa.ipc.open_file(mapped).read_all())
+
+
+def _resolve_sorted(batches: Iterator[pa.RecordBatch], many_rows: int = MANY_ROWS) -> Iterator[pa.RecordBatch]:
+    """Adds the resolved columns, document by document, to rows sorted by doc_id and pos; a document may go on over batches.
+
+    Of a document of more than `many_rows` rows only numbers are kept in memory.
+    """
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for doc, each in groupby(zip(*(rows.column(c).to_pylist() for c in _NEED)), key=lambda r: r[0]):
+            out += [r[2:] for r in _resolve_document(doc, [r[1:] for r in each])]
+        for (name, kind), values in zip(_RESOLVED_ARROW, zip(*out)):
+            rows = rows.append_column(name, pa.array(values, kind))
+        yield from rows.combine_chunks().to_batches()
+
+    open_: list[pa.RecordBatch] = []
+    long: _Spool | None = None
+    for batch in batches:
+        if long is not None:
+            more = pc.sum(pc.equal(batch.column("doc_id"), long.doc)).as_py() or 0
+            long.out.write_batch(batch.slice(0, more))
+            if more == batch.num_rows:
+                continue
+            yield from long.told()
+            long, batch = None, batch.slice(more)
+        if not batch.num_rows:
+            continue
+        docs = batch.column("doc_id")
+        last = pc.index(docs, docs[-1]).as_py()  # the rows before that of the batch's last document are whole
+        if last or (open_ and open_[-1].column("doc_id")[0] != docs[0]):
+            open_.append(batch.slice(0, last))
+            yield from told(pa.Table.from_batches([b for b in open_ if b.num_rows]))
+            open_ = []
+        open_.append(batch.slice(last))
+        if sum(b.num_rows for b in open_) > many_rows:
+            long, open_ = _Spool(open_), []
+    if long is not None:
+        yield from long.told()
+    if open_:
+        yield from told(pa.Table.from_batches(open_))
+
+
 def _by_component(pending: DataFrame, values) -> DataFrame:  # noqa: ANN001
     """doc_id, id, value: `values` over each component of pending (doc_id, id, pos, cs), in list order.
 
@@ -385,7 +512,7 @@ def _resolve_large(graph: DataFrame) -> DataFrame:
     return units.withColumnRenamed("value", "unit_id").join(told, ["doc_id", "id"], "left").select("doc_id", "id", "unit_id", F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), "parent", F.col("depth").cast("int"), "problem")
 
 
-def resolve(graph: DataFrame, whole_doc_rows: int = WHOLE_DOC_ROWS) -> DataFrame:
+def resolve(graph: DataFrame, whole_doc_rows: int = WHOLE_DOC_ROWS, many_rows: int = MANY_ROWS) -> DataFrame:
     """The graph with unit_id, is_anchor, parent, depth, problem.
 
     unit_id: the verbal unit of each token, the first that resolves of: its own; that of the verb pointing at it by
@@ -393,11 +520,11 @@ def resolve(graph: DataFrame, whole_doc_rows: int = WHOLE_DOC_ROWS) -> DataFrame
     parent and depth (anchors only): the governing anchor and the number of anchors above; 0 where related1 is `root`;
     null, with problem `cycle` or `no_governor` where it starts, if no root is reached.
 
-    Documents of up to `whole_doc_rows` rows are resolved each in one task, in list order, so that its memory has a bound;
-    larger ones by pointer doubling over all tasks, with the same result. Duplicate ids must have been removed (`latest`).
+    Documents of up to `whole_doc_rows` rows are resolved each in one task, in list order, so that its memory has a bound:
+    those of more than `many_rows` by row numbers, their rows in a file. Larger ones by pointer doubling over all tasks, with the same result. Duplicate ids must have been removed (`latest`).
     """
     schema = T.StructType([*graph.schema.fields, *T.StructType.fromDDL(_RESOLVED).fields])
-    whole = lambda df: df.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_resolve_sorted, schema)
+    whole = lambda df: df.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(partial(_resolve_sorted, many_rows=many_rows), schema)
     large = cut(graph.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_doc_rows).select("doc_id"))
     if large.isEmpty():
         return whole(graph)

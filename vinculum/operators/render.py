@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinculum.functions.scan import HTML, LABEL, join_in_order, replaced, scan
-from vinculum.schemas import IMPLIED, IMPLIED_COLOUR, ROOT
+from vinculum.schemas import IMPLIED, IMPLIED_COLOUR, PALETTE, ROOT
 
 # What joins how.
 OPENING, CLOSING, QUOTE_MARKS = ["(", "[", "{"], [")", "]", "}"], ['"', "'"]
 IMPLIED_LABELS = {"implied sum": "elided sum", "continued discourse": "continued discourse"}
 CO = "coordinating conjunction"
+# Between and after the divisions of a document; bytes of a text that goes out by itself.
+_BETWEEN, _END, _LONG = "</div>\n", b"</div>", 1 << 20
 
 
 def join_classes(graph: DataFrame, within: str | None = None) -> DataFrame:
@@ -78,22 +85,123 @@ def _float(x: Column) -> Column:
     return x.cast("double").cast("string")
 
 
-def depth_html(resolved: DataFrame, colours: DataFrame, indent: float = 2.0, cap: int | None = None) -> DataFrame:
+def _unit_columns(resolved: DataFrame, colours: DataFrame | None) -> DataFrame:
+    """Adds fill and ink, and d, the depth of the token's unit (0 where it has none), without a join to the rows' own units."""
+    unit = Window.partitionBy("doc_id", "unit_id")
+    rows = resolved.withColumn("d", F.coalesce(F.when(F.col("unit_id").isNotNull(), F.max(F.when(F.col("is_anchor"), F.col("depth"))).over(unit)), F.lit(0)))
+    if colours is not None:
+        return rows.join(colours.select("doc_id", "unit_id", "fill", "ink"), ["doc_id", "unit_id"], "left")
+    seen = F.col("unit_id").isNotNull() & F.coalesce(F.col("tokentype") != "punctuation", F.lit(False))
+    rows = rows.withColumns({"_seen": F.max(seen).over(unit), "_first": F.min(F.when(seen, F.col("pos"))).over(unit)})
+    slot = (F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("_seen"), F.asc("_first"), F.asc("unit_id"))) - 1) % len(PALETTE)
+    pick = lambda k: F.when(F.col("_seen"), F.element_at(F.array(*[F.lit(c[k]) for c in PALETTE]), slot + 1))
+    return rows.withColumns({"fill": pick(0), "ink": pick(2)}).drop("_seen", "_first")
+
+
+def _texts(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[str, int, bytearray]]:
+    """(doc, part, text) of rows (doc_id, piece) that lie in order: a document's pieces one after another, in parts of about `most` bytes.
+
+    The pieces of a batch lie one after another already, so they are copied as they are.
+    """
+    doc, part, text = None, 0, bytearray()
+    for batch in batches:
+        docs, pieces = batch.columns
+        if not len(docs):
+            continue
+        _, ends, data = pieces.buffers()
+        at, data = np.frombuffer(ends, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].tolist(), memoryview(data or b"")
+        firsts = [0, *(np.flatnonzero(pc.not_equal(docs[1:], docs[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(docs)]
+        for a, b in zip(firsts, firsts[1:]):
+            if (now := docs[a].as_py()) != doc:
+                if doc is not None:
+                    yield doc, part, text
+                doc, part, text = now, 0, bytearray()
+            text += data[at[a] : at[b]]
+            if most is not None and len(text) >= most:
+                yield doc, part, text
+                part, text = part + 1, bytearray()
+    if doc is not None:
+        yield doc, part, text
+
+
+def _as_batches(texts: Iterator[tuple[str, int, bytearray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc, part (where it is named) and text; a long text goes out by itself, uncopied."""
+
+    def told() -> pa.RecordBatch:
+        docs, parts, values = zip(*rows)
+        ends = pa.py_buffer(np.cumsum([0, *map(len, values)]).astype(np.int32))
+        text = pa.StringArray.from_buffers(len(values), ends, pa.py_buffer(values[0] if len(values) == 1 else b"".join(values)))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), *[pa.array(parts, pa.int32())] * (len(names) == 3), text], names)
+
+    rows, size = [], 0
+    for row in texts:
+        if rows and size + len(row[2]) > _LONG:
+            yield told()
+            rows, size = [], 0
+        rows.append(row)
+        size += len(row[2])
+    if rows:
+        yield told()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _as_batches(_texts(batches, _LONG), ["doc_id", "part", "text"])
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without the first `_BETWEEN` of a document, and with its last end."""
+
+    def trimmed() -> Iterator[tuple[str, int, bytearray]]:
+        for doc, part, text in _texts(batches):
+            del text[: len(_BETWEEN)]
+            text += _END
+            yield doc, part, text
+
+    yield from _as_batches(trimmed(), ["doc_id", "html"])
+
+
+def depth_html(resolved: DataFrame, colours: DataFrame | None = None, indent: float = 2.0, cap: int | None = None) -> DataFrame:
     """doc_id, html: blocks as indented divisions, those deeper than `cap` left out. ValueError for a negative cap.
 
-    A document of which no block is left has no row.
+    colours: as `unit_colours` gives them, which is what None stands for. A document of which no block is left has no row.
+    As a document's text is one value, made in one task, everything before it is running values over the document there:
+    `resolved` is read once and moved once, however often its rows are looked at (`depth_blocks` and `join_classes` say
+    the same by chunks, each reading its input twice). Texts are put together by streams: an aggregate would hold a long one
+    some ten times over (list, its serialised form, the merged list, text, row); and in a stage of their own, without
+    the memory of the sorts before.
     """
     if cap is not None and cap < 0:
         raise ValueError(f"depth must be >= 0 (root clauses only), got {cap!r}")
-    deep = resolved.where("is_anchor").select("doc_id", F.col("id").alias("block_unit"), F.col("depth").alias("d"))
-    blocks = depth_blocks(_span(resolved, colours)).drop("depth").join(deep, ["doc_id", "block_unit"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    need = ["doc_id", "pos", "tokentype", "text", "unit_id", "is_anchor", "depth"]
+    chosen = F.col("tokentype").isin("lexical", "praenomen", "numeral") | F.coalesce(F.col("relationship1") == CO, F.lit(False)) | F.coalesce(F.col("relationship2") == CO, F.lit(False))
+    rows = _unit_columns(resolved.select(*need, chosen.alias("_chosen")).repartition("doc_id"), colours)
+    place = Window.partitionBy("doc_id").orderBy("pos")
+    to_here, before = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_has", F.when((F.col("tokentype") != "enclitic") & F.col("unit_id").isNotNull(), F.struct("unit_id", "d")))
+    rows = rows.withColumn("_open", F.last("_has", ignorenulls=True).over(before))
+    starts = F.col("_has").isNotNull() & (F.col("_open").isNull() | (F.col("_open.unit_id") != F.col("_has.unit_id")))
+    rows = rows.withColumn("block", F.sum(starts.cast("int")).over(to_here)).withColumn("d", F.coalesce("_has.d", "_open.d", F.lit(0))).drop("_has", "_open")
     if cap is not None:
-        blocks = blocks.where(F.col("d") <= cap)
-    inner = join_classes(blocks, "block").groupBy("doc_id", "block").agg(join_in_order(F.concat("sep", "html"), "pos", "").alias("inner"))
-    all_blocks = blocks.groupBy("doc_id", "block").agg(F.min("d").alias("d")).join(inner, ["doc_id", "block"], "left")
+        rows = rows.where(F.col("d") <= cap)
+
+    part = Window.partitionBy("doc_id", "block").orderBy("pos")
+    to_here, before = part.rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(Window.unboundedPreceding, -1)
+    real, mark = F.coalesce(~F.col("tokentype").isin(IMPLIED), F.lit(False)), F.col("tokentype") == "punctuation"
+    odd = {q: F.sum(F.when(mark & (F.col("text") == q), 1).otherwise(0)).over(to_here) % 2 == 1 for q in QUOTE_MARKS}
+    right = F.col("text").isin(OPENING) | ((F.col("text") == QUOTE_MARKS[0]) & odd[QUOTE_MARKS[0]]) | ((F.col("text") == QUOTE_MARKS[1]) & odd[QUOTE_MARKS[1]])
+    kind = F.when(F.col("tokentype") == "enclitic", "enclitic").when(mark, F.when(right, "right").otherwise("left")).otherwise("normal")
+    rows = rows.withColumn("_kind", F.when(real, kind))
+    rows = rows.withColumn("_before", F.last("_kind", ignorenulls=True).over(before))
+    tight = F.col("_before").isNull() | F.col("_kind").isin("left", "enclitic") | ((F.col("_kind") == "normal") & (F.col("_before") == "right"))
+    text = replaced(F.coalesce("text", F.lit("")), HTML)
+    span = F.concat(F.lit('<span style="background-color: '), F.col("fill"), F.lit("; color: "), F.col("ink"), F.lit(';">'), text, F.lit("</span>"))
+    shown = F.concat(F.when(tight, "").otherwise(" "), F.when(F.col("_chosen") & F.col("fill").isNotNull(), span).otherwise(text))
     margin = _float(F.col("d") * F.lit(indent)) if isinstance(indent, float) else (F.col("d") * F.lit(indent)).cast("string")
-    line = F.concat(F.lit('<div style="margin-left: '), margin, F.lit('em; margin-bottom: 0.35em;">'), F.coalesce("inner", F.lit("")), F.lit("</div>"))
-    return all_blocks.select("doc_id", "block", line.alias("line")).groupBy("doc_id").agg(join_in_order(F.col("line"), "block", "\n").alias("html"))
+    head = F.concat(F.lit(_BETWEEN + '<div style="margin-left: '), margin, F.lit('em; margin-bottom: 0.35em;">'))
+    piece = F.concat(F.when(F.row_number().over(part) == 1, head).otherwise(""), F.when(F.col("_kind").isNotNull(), shown).otherwise(""))
+    pieces = rows.select("doc_id", "block", "pos", piece.alias("piece")).sortWithinPartitions("doc_id", "block", "pos").select("doc_id", "piece")
+    parts = pieces.mapInArrow(_parts, "doc_id string, part int, text string").repartition("doc_id").sortWithinPartitions("doc_id", "part")
+    return parts.select("doc_id", "text").mapInArrow(_wholes, "doc_id string, html string")
 
 
 def mermaid_edges(graph: DataFrame) -> DataFrame:

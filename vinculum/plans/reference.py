@@ -235,8 +235,8 @@ SELECT bd.doc_id, string_agg('<div style="margin-left: ' || (bd.d * 2) || '.0em;
 
 @query(_CAPPED)
 def depth_html_capped(spark: SparkSession, d: str) -> DataFrame:
-    r = cut(G.resolve(graph(spark, d)))
-    return R.depth_html(r, G.unit_colours(r), cap=1)
+    rows = table(spark, d, "tokengraph").repartition("doc_id")  # as `resolve` wants them, so that they are moved once
+    return R.depth_html(G.resolve(G.latest(rows, extra=(), without=("lemma",))), cap=1)
 
 
 _MERMAID = """, nodes AS (SELECT doc_id, id FROM g WHERE tokentype <> 'punctuation'), m AS (SELECT e.*, n.id IS NOT NULL AS drawn FROM e JOIN nodes s ON s.doc_id = e.doc_id AND s.id = e.src LEFT JOIN nodes n ON n.doc_id = e.doc_id AND n.id = e.dst WHERE e.dst <> 'root')"""

@@ -194,11 +194,11 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """source, h, tokens, length, title, ones, zeros for the pieces of about `sample_docs` documents chosen by a hash of their id.
 
     h: a hash to choose by; tokens: of the piece, packed; length of its text; title: does it begin it? ones and zeros: places
-    of windows that hold what the weak labels know, and of such as hold none of it. docs: doc_id, source, flat. The corpus
+    of windows that hold what the weak labels know, and of such as hold none of it. docs: doc_id, source, flat, there. The corpus
     is read once for it.
     """
     n = max(1, docs.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).where("flat is not null").select("source", "flat", holds_residue(F.col("flat")).alias("any"))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).where("there").select("source", "flat", holds_residue(F.col("flat")).alias("any"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Slots()
@@ -364,13 +364,14 @@ _SHARED = _Slots()
 
 
 def usable(docs: DataFrame) -> DataFrame:
-    """doc_id, source, flat (null for null, empty and blank texts)."""
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.when(F.trim("text") != "", flattened(F.col("text"))).alias("flat"))
+    """doc_id, source, flat (null for null, empty and blank texts), there (is flat not null? told by the text as it is, so that asking it flattens nothing)."""
+    there = F.coalesce(F.trim("text") != "", F.lit(False))
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.when(there, flattened(F.col("text"))).alias("flat"), there.alias("there"))
 
 
 def _judged(texts: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, found: by the classifier alone where it is sure, by the exact check as well where it is not."""
-    scored = texts.where("flat is not null").select("doc_id", "source", "flat", best_score(F.col("flat"), model).alias("score"))
+    scored = texts.where("there").select("doc_id", "source", "flat", best_score(F.col("flat"), model).alias("score"))
     # the check takes its text through the classifier's verdict: as two filters, the optimiser would turn them round
     unsure = scored.select("doc_id", "source", "flat", "score", F.when((F.col("score") >= model.likely) & (F.col("score") < model.sure), F.col("flat")).alias("candidate"))
     return unsure.select("doc_id", "source", "flat", "score", ((F.col("score") >= model.sure) | F.coalesce(holds_residue(F.col("candidate")), F.lit(False))).alias("found"))

@@ -216,6 +216,27 @@ def test_texts_are_flattened_once(spark):
     assert filters and any("regexp_replace" in x for x in plan) and not any("regexp_replace" in x for x in filters)
 
 
+def test_editors_signs_are_learnt_as_none(spark):
+    """Rare as they are, their windows are negatives of the training; and the model does not hang on the order of the rows."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choices([*WORDS, "rosam", "amat", "videt"], k=n))
+    texts = [(1, "s1", f"{prose(30)} Rosae {{puella}} [[mensa]] <rosae> scripsit librarius. {prose(30)}"), (2, "s2", f"{prose(30)} [[title]] {prose(30)}"), (3, "s3", prose(60)), (4, "s4", f"{prose(20)} †rosa† {prose(20)}")]
+    rows = residue.training_rows(residue.usable(spark.createDataFrame(texts, "doc_id long, source string, text string"))).collect()
+    cache, seen = residue._Slots(), set()
+    for x in rows:
+        tokens = np.frombuffer(x.tokens, dtype=np.int64)
+        holds = [k for k in range(max(1, len(tokens) - residue.WINDOW + 1)) if {cache[c] for c in "{[<†"} & {*tokens[k : k + residue.WINDOW].tolist()}]
+        if x.signs:
+            seen.add(x.source)
+            assert len(x.zeros) > 1 and {*x.zeros} <= {*holds} and not x.ones
+    assert seen == {"s1", "s4"} and any(x.ones for x in rows if x.source == "s2")
+    many = [(k, f"s{k % 17}", t) for k, t in enumerate([*BAD * 4, *GOOD * 4, *(prose(12) for _ in range(300))])]
+    many += [(1000 + k, s, t) for k, s, t in many]  # ties
+    rows = residue.training_rows(residue.usable(spark.createDataFrame(many, "doc_id long, source string, text string")))
+    one, two = (residue.fit(x) for x in (rows.repartition(3, "tokens"), rows.orderBy(F.desc("h"), F.desc("source"))))
+    assert np.array_equal(one.weights, two.weights) and one[1:] == two[1:]
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     r = random.Random(8)

@@ -69,6 +69,8 @@ MARGIN, SURE_MARGIN = 1.0, 2.0
 BAND = (-5.0, -3.0)  # the band of the exact check begins within
 TOKENS = r"[^\W\d_]+|\d+|_+|[^\w\s]"
 CACHE = 300_000
+# Fixed forms of editors' signs: what the weak labels know to be none
+SIGNS = regex.compile(r"\{\p{Ll}+\}|\[\[?\p{Ll}+\]\]?|<\p{Ll}+>|[†*]\p{L}+")
 WEAK = regex.compile(STRUCTURE + "|(?i:" + "|".join(map(regex.escape, PHRASES)) + ")")
 
 
@@ -191,11 +193,11 @@ def _cut_out(f: np.ndarray, at: int) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """source, h, tokens, length, title, ones, zeros for the pieces of about `sample_docs` documents chosen by a hash of their id.
+    """source, h, tokens, length, title, ones, zeros, signs for the pieces of about `sample_docs` documents chosen by a hash of their id.
 
     h: a hash to choose by; tokens: of the piece, packed; length of its text; title: does it begin it? ones and zeros: places
-    of windows that hold what the weak labels know, and of such as hold none of it. docs: doc_id, source, flat, there. The corpus
-    is read once for it.
+    of windows that hold what the weak labels know, and of such as hold none of it; signs: are these around editors' signs?
+    docs: doc_id, source, flat, there. The corpus is read once for it.
     """
     n = max(1, docs.count() // sample_docs)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).where("there").select("source", "flat", holds_residue(F.col("flat")).alias("any"))
@@ -208,6 +210,7 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                 found = list(_FIND(text))
                 tokens = packed([m.group() for m in found], cache)
                 spans = [m.span() for m in WEAK.finditer(text)] if some else []
+                signs = [m.span() for m in SIGNS.finditer(text)]
                 if some and not spans:
                     continue  # its residue is broken up: no window shows the words together
                 for low in range(0, len(found), PIECE):
@@ -217,12 +220,13 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                     if near and not ones:
                         continue  # what there is stands whole in the piece before or after
                     h = zlib.crc32(text[found[at].start() : found[high - 1].end()].encode())
+                    shown = _labelled(found, signs, at, high)[0] if signs and not ones else []
                     if not ones:
-                        zeros = [h % max(1, high - at - WINDOW + 1)]
-                    out.append((source, h, tokens[at:high].tobytes(), len(found), at == 0, ones, zeros))
-            yield pd.DataFrame(out, columns=["source", "h", "tokens", "length", "title", "ones", "zeros"])
+                        zeros = shown or [h % max(1, high - at - WINDOW + 1)]
+                    out.append((source, h, tokens[at:high].tobytes(), len(found), at == 0, ones, zeros, bool(shown)))
+            yield pd.DataFrame(out, columns=["source", "h", "tokens", "length", "title", "ones", "zeros", "signs"])
 
-    return cut(sample.mapInPandas(run, "source string, h long, tokens binary, length int, title boolean, ones array<int>, zeros array<int>"))
+    return cut(sample.mapInPandas(run, "source string, h long, tokens binary, length int, title boolean, ones array<int>, zeros array<int>, signs boolean"))
 
 
 def _labelled(found: list, spans: list, at: int, high: int) -> tuple[list[int], list[int], bool]:
@@ -267,11 +271,13 @@ class Model(NamedTuple):
 def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int = 2, l2: float = 3e-6) -> Model | None:
     """A model from at most `most` training rows of each label, `HELD` of the sources kept for its calibration.
 
-    The bound keeps what reaches the driver constant. After each training the windows of unlabelled pieces that score
-    highest are added as negatives, `mined` times. sure: over the scores of the kept pieces without a label, but for `STRAY` of them, by `SURE_MARGIN`;
+    The bound keeps what reaches the driver constant; the order is one of all columns, so that the model does not hang on the
+    order of the rows. Pieces with editors' signs always give windows: they are too rare to be left to chance, and where they
+    score high they would pass for `STRAY`. After each training the windows of unlabelled pieces that score highest are added
+    as negatives, `mined` times. sure: over the scores of the kept pieces without a label, but for `STRAY` of them, by `SURE_MARGIN`;
     likely: under the lowest kept label but for one in a hundred, within `BAND`. None where the sample has not both labels.
     """
-    part = [rows.where(c).orderBy("h").limit(most).toPandas() for c in ("size(ones) > 0", "size(ones) = 0")]
+    part = [rows.where(c).orderBy("h", "source", "length", "title", "tokens").limit(most).toPandas() for c in ("size(ones) > 0", "size(ones) = 0")]
     frame = pd.concat(part, ignore_index=True)
     if not len(part[0]) or not len(part[1]):
         return None
@@ -298,7 +304,7 @@ def fit(rows: DataFrame, most: int = SAMPLE_PIECES, rounds: int = 60, mined: int
         x = _cut_out(f, at)
         return x[known[x]]
 
-    drawn = label | (np.arange(len(frame)) % DRAWN == 0)
+    drawn = label | frame["signs"].to_numpy(dtype=bool) | (np.arange(len(frame)) % DRAWN == 0)
     marked = [(window(f, at), y) for which in parts(np.flatnonzero(~kept & drawn)) for k, f in zip(which, some(which)) for y, places in ((1.0, frame["ones"][k]), (0.0, frame["zeros"][k])) for at in places]
     windows, y = [x for x, _ in marked], np.array([v for _, v in marked])
     plain = np.flatnonzero(~kept & ~label)
